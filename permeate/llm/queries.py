@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permeate.llm import canonical, leakage, pairs, splitting
+from permeate.llm import canonical, leakage, mixing, neighbours, pairs, splitting, templates
 from permeate.plans import core_problems
 from permeate.session import table
 
@@ -26,6 +26,20 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return typed.join(missing, ["row_id", "path"]).groupBy("name", "formula").agg(F.count("*").alias("n_values"))
 
 
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The up to ten most similar vectors of every vector."""
+    return neighbours.nearest(table(spark, d, "vector_database"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(p4_neighbours(spark, d))
+
+
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the index against brute force, for the vectors whose id is divisible by 20."""
+    return neighbours.recall(table(spark, d, "vector_database"), p4_neighbours(spark, d))
+
+
 def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     """Every triggered defect type with its rank."""
     return pairs.flag_pairs(table(spark, d, "llm_responses"))
@@ -59,7 +73,41 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual token share per source."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Training position of every use of a document."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return templates.find_residue(table(spark, d, "documents"))
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are left, per source."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    left = docs.join(p10_found(spark, d).select("doc_id"), "doc_id", "left_anti")
+    return left.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_chars").alias("n_chars"))
+
+
+def p10_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged templates with their kind and count."""
+    return templates.mine_templates(table(spark, d, "documents")).where("kind is not null")
+
+
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
+    "p4_recall": p4_recall,
+    "p9_shares": p9_shares,
+    "p9_positions": p9_positions,
+    "p10_found": p10_found,
+    "p10_clean": p10_clean,
+    "p10_templates": p10_templates,
     "p2_found": p2_found,
     "p2_mapped": p2_mapped,
     "p2_unmatched": p2_unmatched,
