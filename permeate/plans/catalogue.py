@@ -1,7 +1,7 @@
 """All queries of the core and their SQL."""
 
-from permeate.plans import core_problems
+from permeate.plans import core_problems, reference_queries
 
-QUERIES = {**core_problems.QUERIES}
-ORACLE = {**core_problems.ORACLE}
-FLAGSHIP = "p6_found"
+QUERIES = {**reference_queries.QUERIES, **core_problems.QUERIES}
+ORACLE = {**reference_queries.ORACLE, **core_problems.ORACLE}
+FLAGSHIP = "rag_prompts"
