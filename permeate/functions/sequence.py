@@ -8,7 +8,7 @@ hundred times as long.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values: (interface scale, octanol scale, octanol minus interface) of each residue.
@@ -49,43 +49,36 @@ def residue_hydrophobicity(letter: Column) -> Column:
     return F.coalesce(F.element_at(table, F.upper(letter)), F.lit(UNKNOWN_RESIDUE))
 
 
-def _grouped(sequence: Column) -> Column:
-    """Upper case, one letter per entropy group, other letters gone."""
-    source = "".join(ENTROPY_GROUPS)
-    target = "".join(g[0] * len(g) for g in ENTROPY_GROUPS)
-    kept = F.regexp_replace(F.upper(sequence), f"[^{source}]", "")
-    return F.translate(kept, source, target)
+def _with_counts(df: DataFrame, sequence: str, keys: dict[str, str]) -> DataFrame:
+    """Adds ``_n_<key>``: how often each key letter stands in the text, once other letters are gone and the letters
+    of ``keys`` are replaced. Plain string functions in staged projections, so each count is made once."""
+    source, target = "".join(keys), "".join(keys.values())
+    kept = F.translate(F.regexp_replace(F.upper(sequence), f"[^{source}]", ""), source, target)
+    out = df.withColumn("_t", kept)
+    return out.withColumns({f"_n_{k}": F.char_length("_t") - F.char_length(F.replace(F.col("_t"), F.lit(k), F.lit(""))) for k in dict.fromkeys(keys.values())})
 
 
-def group_entropy(sequence: Column) -> Column:
-    """Shannon entropy (bits) over 18 residue groups; -1 where no known residue stands."""
-    letters = F.array(*[F.lit(g[0]) for g in ENTROPY_GROUPS])
-    text = _grouped(sequence)
+def add_group_entropy(df: DataFrame, sequence: str, out: str) -> DataFrame:
+    """Adds the Shannon entropy (bits) over 18 residue groups; -1 where no known residue stands, null for null."""
+    keys = {letter: g[0] for g in ENTROPY_GROUPS for letter in g}
+    counted = _with_counts(df, sequence, keys).withColumn("_total", F.nullif(F.char_length("_t"), F.lit(0)))
+    names = [f"_n_{g[0]}" for g in ENTROPY_GROUPS]
+    share = counted.withColumns({f"_s{n}": F.col(n) / F.col("_total") for n in names})
+    # log2 of 0 is null
+    terms = [F.coalesce(F.col(f"_s{n}") * F.log2(F.col(f"_s{n}")), F.lit(0.0)) for n in names]
+    entropy = F.when(F.col("_total").isNotNull(), -sum(terms[1:], terms[0])).otherwise(F.when(F.col("_t").isNotNull(), F.lit(-1.0)))
+    return share.withColumn(out, entropy).select(*df.columns, out)
 
-    def term(total: Column, letter: Column) -> Column:
-        share = (F.char_length(text) - F.char_length(F.replace(text, letter, F.lit("")))) / F.char_length(text)
-        return F.when(share > 0, total - share * F.log2(share)).otherwise(total)
 
-    return F.when(F.char_length(text) > 0, F.aggregate(letters, F.lit(0.0), term)).otherwise(F.when(sequence.isNotNull(), F.lit(-1.0)))
+def add_hydrophobicity(df: DataFrame, sequence: str) -> DataFrame:
+    """Adds ``octanol``, ``interface`` and ``difference``: summed scales; zeros where no known residue stands."""
+    counted = _with_counts(df, sequence, {k: k for k in HYDROPHOBICITY})
 
+    def total(i: int) -> Column:
+        terms = [F.col(f"_n_{k}") * float(v[i]) for k, v in HYDROPHOBICITY.items()]
+        return sum(terms[1:], terms[0])
 
-def hydrophobicity_sums(sequence: Column) -> Column:
-    """Struct (octanol, interface, difference) of summed scales; zeros where no known residue stands."""
-    text = F.upper(sequence)
-    zero = F.struct(F.lit(0.0).alias("octanol"), F.lit(0.0).alias("interface"), F.lit(0.0).alias("difference"))
-    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(i)).alias("i"), F.lit(float(o)).alias("o"), F.lit(float(d)).alias("d")) for k, (i, o, d) in HYDROPHOBICITY.items()])
-
-    def add(total: Column, row: Column) -> Column:
-        n = F.char_length(text) - F.char_length(F.replace(text, row["k"], F.lit("")))
-        return F.struct((total["octanol"] + n * row["o"]).alias("octanol"), (total["interface"] + n * row["i"]).alias("interface"), (total["difference"] + n * row["d"]).alias("difference"))
-
-    return F.when(text.isNotNull(), F.aggregate(rows, zero, add))
-
-
-def windows(sequence: Column, width: int) -> Column:
-    """All substrings of ``width`` characters in order; an empty array for shorter sequences."""
-    n = F.char_length(sequence)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.substring(sequence, i, F.lit(width)))).otherwise(F.when(n.isNotNull(), F.array().cast("array<string>")))
+    return counted.withColumns({"octanol": total(1), "interface": total(0), "difference": total(2)}).select(*df.columns, "octanol", "interface", "difference")
 
 
 def mean_std(values: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,17 +96,23 @@ def surface(atoms: DataFrame, probe: float = 1.40, n_points: int = 100, keys: tu
     points = sphere_points(n_points)
     words = [points[a : a + _WORD] for a in range(0, n_points, _WORD)]
 
-    def mask(word: list[tuple[float, float, float]]) -> Column:
-        rows = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z"), F.lit(1 << k).cast("long").alias("bit")) for k, (x, y, z) in enumerate(word)])
-        dx, dy, dz = (F.col(a) - F.col("o" + a) for a in "xyz")
-
-        def add(total: Column, p: Column) -> Column:
-            d2 = (dx + F.col("r") * p["x"]) ** 2 + (dy + F.col("r") * p["y"]) ** 2 + (dz + F.col("r") * p["z"]) ** 2
-            return F.when(d2 <= F.col("other_r") * F.col("other_r"), total + p["bit"]).otherwise(total)
-
-        return F.aggregate(rows, F.lit(0).cast("long"), add)
-
-    lost = pairs.groupBy(*keys, "atom_id").agg(*[F.bit_or(mask(w)).alias(f"m{i}") for i, w in enumerate(words)])
+    unit = np.array(points)
+    bits = [np.array([1 << k for k in range(len(w))], dtype=np.int64) for w in words]
+    kind = "struct<" + ", ".join(f"m{i}: bigint" for i in range(len(words))) + ">"
+
+    @F.pandas_udf(kind)
+    def mask(dx: pd.Series, dy: pd.Series, dz: pd.Series, r: pd.Series, other: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(dx), len(words)), dtype=np.int64)
+        apart = np.column_stack([dx, dy, dz])
+        for a in range(0, len(dx), 2048):
+            at = apart[a : a + 2048, None, :] + r.to_numpy()[a : a + 2048, None, None] * unit[None]
+            lost = (at * at).sum(axis=2) <= (other.to_numpy()[a : a + 2048] ** 2)[:, None]
+            for i, weights in enumerate(bits):
+                out[a : a + 2048, i] = lost[:, i * _WORD : i * _WORD + len(weights)] @ weights
+        return pd.DataFrame(out, columns=[f"m{i}" for i in range(len(words))])
+
+    masks = pairs.select(*keys, "atom_id", mask(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"), F.col("z") - F.col("oz"), F.col("r"), F.col("other_r")).alias("m"))
+    lost = masks.groupBy(*keys, "atom_id").agg(*[F.bit_or(f"m.m{i}").alias(f"m{i}") for i in range(len(words))])
     n_lost = sum((F.bit_count(F.coalesce(f"m{i}", F.lit(0))) for i in range(1, len(words))), F.bit_count(F.coalesce("m0", F.lit(0))))
     out = own.join(lost, [*keys, "atom_id"], "left").withColumn("n_free", (F.lit(n_points) - n_lost).cast("long"))
     out = out.withColumn("sasa", F.col("n_free") * F.col("r") * F.col("r") * F.lit(4 * math.pi / n_points)).drop(*[f"m{i}" for i in range(len(words))])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permeate.operators import nested, orphans, quantities
-from permeate.session import table
+from permeate.session import spread, table
 
 COMPONENT = nested.Node("component", "component")
 BUFFER = nested.Node("buffer", "buffer", indexed=False, children=(COMPONENT,))
@@ -16,7 +16,7 @@ DETERMINATION = nested.Node("determination", "structure_determination_list", emi
 
 def _children(spark: SparkSession, d: str) -> DataFrame:
     emdb = nested.child_records(table(spark, d, "emdb_entries"), "row_id", DETERMINATION).withColumn("source_table", F.lit("emdb_entries"))
-    nodes = nested.json_nodes(table(spark, d, "pdb_responses"), "response_id", "body", "struct_keywords")
+    nodes = nested.json_nodes(spread(table(spark, d, "pdb_responses").select("response_id", "body")), "response_id", "body", "struct_keywords")
     pdb = nested.string_children(nodes, "struct_keywords").drop("value").withColumn("source_table", F.lit("pdb_responses"))
     return emdb.unionByName(pdb)
 
@@ -39,7 +39,7 @@ def p1_components(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_keywords(spark: SparkSession, d: str) -> DataFrame:
     """Keyword table of the JSON bodies with its entry as parent."""
-    nodes = nested.json_nodes(table(spark, d, "pdb_responses"), "response_id", "body", "struct_keywords")
+    nodes = nested.json_nodes(spread(table(spark, d, "pdb_responses").select("response_id", "body")), "response_id", "body", "struct_keywords")
     return nested.string_children(nodes, "struct_keywords").select("row_id", "parent_path", "path", "shape", "value")
 
 

@@ -10,7 +10,7 @@ from permeate.functions import text_clean as tc
 from permeate.functions import vectors as v
 from permeate.models import backends
 from permeate.operators import batch, helix, hierarchy, retrieval, spatial
-from permeate.session import table
+from permeate.session import spread, table
 from permeate.sources import json_flatten, rest, xml
 
 QUERIES: dict = {}
@@ -302,7 +302,8 @@ _ENTROPY = "list_sum(list_transform(list_filter(string_split('ICAMWFPGRNDEQHKSTY
 
 @query(f"select row_id, case when length(t) > 0 then round({_ENTROPY}, 6) else -1 end as entropy from (select row_id, {_GROUPED.format('region_seq')} as t from pdbtm where region_seq is not null)")
 def seq_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pdbtm").where("region_seq is not null").select("row_id", F.round(seq.group_entropy(F.col("region_seq")), 6).alias("entropy"))
+    rows = table(spark, d, "pdbtm").where("region_seq is not null").select("row_id", "region_seq")
+    return seq.add_group_entropy(rows, "region_seq", "entropy").select("row_id", F.round("entropy", 6).alias("entropy"))
 
 
 @query(
@@ -311,7 +312,7 @@ select row_id, i as start, round({_ENTROPY}, 6) as entropy from w"""
 )
 def entropy_windows(spark: SparkSession, d: str) -> DataFrame:
     """Entropy of every window of 12 residues."""
-    return helix.window_rows(table(spark, d, "pdbtm"), "row_id", "region_seq").select("row_id", "start", F.round("entropy", 6).alias("entropy"))
+    return helix.window_rows(spread(table(spark, d, "pdbtm").select("row_id", "region_seq")), "row_id", "region_seq").select("row_id", "start", F.round("entropy", 6).alias("entropy"))
 
 
 _SCALES = ", ".join(f"('{k}', {i}, {o}, {x})" for k, (i, o, x) in seq.HYDROPHOBICITY.items())
@@ -326,7 +327,7 @@ select row_id, start, round(o, 4) + 0 as octanol, round(i, 4) + 0 as interface,
 )
 def hydrophobicity_windows(spark: SparkSession, d: str) -> DataFrame:
     """Summed scales of every window of 19 residues."""
-    rows = helix.window_rows(table(spark, d, "pdbtm"), "row_id", "region_seq").where("octanol is not null")
+    rows = helix.window_rows(spread(table(spark, d, "pdbtm").select("row_id", "region_seq")), "row_id", "region_seq").where("octanol is not null")
     return rows.select("row_id", "start", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("octanol", "interface", "difference")])
 
 
@@ -338,8 +339,8 @@ on upper(region_seq) = t.s"""
 )
 def seq_hydrophobicity(spark: SparkSession, d: str) -> DataFrame:
     """Summed scales of whole regions."""
-    rows = table(spark, d, "pdbtm").where("region_seq is not null").select("row_id", seq.hydrophobicity_sums(F.col("region_seq")).alias("h"))
-    return rows.select("row_id", *[(F.round(f"h.{c}", 4) + F.lit(0.0)).alias(c) for c in ("octanol", "interface", "difference")])
+    rows = table(spark, d, "pdbtm").where("region_seq is not null").select("row_id", "region_seq")
+    return seq.add_hydrophobicity(rows, "region_seq").select("row_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("octanol", "interface", "difference")])
 
 
 @query("select l_returnflag, round(avg(l_quantity), 6) as mean, round(stddev_pop(l_quantity), 6) as std, median(l_quantity) as median from lineitem group by l_returnflag")
@@ -372,7 +373,7 @@ def tm_classify(spark: SparkSession, d: str) -> DataFrame:
     start = F.char_length("n_flank")
     text = F.concat(start.cast("string"), F.lit(","), (start + F.char_length("region_seq") - 1).cast("string"))
     rows = rows.select("row_id", F.concat("n_flank", "region_seq", "c_flank").alias("sequence"), text.alias("segments"))
-    return helix.classified_segments(rows, "sequence", "segments").select("row_id", F.get("segment_classes", F.lit(0)).alias("class"))
+    return helix.classified_segments(spread(rows), "sequence", "segments").select("row_id", F.get("segment_classes", F.lit(0)).alias("class"))
 
 
 # ---------------------------------------------------------------- structures in space
@@ -491,7 +492,7 @@ def shortest_chunk(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def embed_stub(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of all chunks from the stand-in model."""
-    return backends.embed(table(spark, d, "text_database").select("text_id", "chunk_text"), "chunk_text", backends.hash_embedder).select("text_id", "embedding")
+    return backends.embed(spread(table(spark, d, "text_database").select("text_id", "chunk_text")), "chunk_text", backends.hash_embedder).select("text_id", "embedding")
 
 
 @query()
