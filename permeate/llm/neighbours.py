@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from permeate.session import cut
+from permeate.session import cut, spread
 
 
 @dataclass
@@ -120,26 +120,28 @@ def fit_forest(sample: np.ndarray, trees: int, leaves: int, seed: int = 7) -> Fo
 
 
 def unit_vectors(vectors: DataFrame, dimension: int) -> DataFrame:
-    """``(vec_id, v)``: unit vectors; null, wrongly sized and all-zero ones, and those with a null, NaN or infinite
-    number, take no part. All JVM-side."""
-    e = F.col("embedding")
-    fine = (F.size(e) == dimension) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return (
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
-        .where(e.isNotNull() & fine)
-        .withColumn("_n", F.sqrt(total))
-        .where("_n > 0")
-        .select("vec_id", F.transform("embedding", lambda x: (x / F.col("_n")).cast("float")).alias("v"))
-    )
+    """``(vec_id, v)``: unit vectors as the bytes of float32 numbers; null, wrongly sized and all-zero ones, and
+    those with a null, NaN or infinite number, take no part."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.array(batch["embedding"].tolist(), dtype=np.float64).reshape(len(batch), dimension)
+            with np.errstate(invalid="ignore"):
+                length = np.sqrt((x * x).sum(axis=1))
+            fine = np.isfinite(length) & (length > 0)
+            unit = (x[fine] / length[fine, None]).astype(np.float32)
+            yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy()[fine], "v": [r.tobytes() for r in unit]})
+
+    sized = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.size("embedding") == dimension)
+    return spread(sized).mapInPandas(work, "vec_id long, v binary")
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float32) if len(column) else np.zeros((0, 1), dtype=np.float32)
+def _matrix(column: pd.Series, dimension: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.float32).reshape(-1, dimension)
 
 
 def nearest(
-    vectors: DataFrame, k: int = 10, least: float = 0.9, dimension: int = 64, trees: int = 8, extra: int = 8, leaf_rows: int = 256, sample_rows: int = 20_000, most_in_block: int = 4096, seed: int = 7
+    vectors: DataFrame, k: int = 10, least: float = 0.9, dimension: int = 64, trees: int = 4, extra: int = 6, leaf_rows: int = 256, sample_rows: int = 20_000, most_in_block: int = 4096, seed: int = 7
 ) -> DataFrame:
     """``(vec_id, other_id, similarity)``: for every vector up to ``k`` most similar others of at least ``least``.
 
@@ -164,50 +166,53 @@ def nearest(
         return spark.createDataFrame([], out)
     picked = reps.select("v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(sample_rows).select("v").toPandas()
     leaves = max(1, int(round(n_rows / leaf_rows)))
-    forest = fit_forest(_matrix(picked["v"]), trees, leaves, seed)
+    forest = fit_forest(_matrix(picked["v"], dimension), trees, leaves, seed)
     shared = spark.sparkContext.broadcast(forest)
 
+    def own_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = shared.value
+        for batch in batches:
+            _, leaf, _ = f.probe(_matrix(batch["v"], dimension), 0)
+            number, m = np.unique(leaf, return_counts=True)
+            yield pd.DataFrame({"leaf": number, "m": m})
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = shared.value
         for batch in batches:
             for a in range(0, len(batch), 2000):
                 part = batch.iloc[a : a + 2000]
-                x = _matrix(part["v"])
+                x = _matrix(part["v"], dimension)
                 row, leaf, own = f.probe(x, extra)
-                ids, raw = part["rep"].to_numpy(), [r.tobytes() for r in x]
-                yield pd.DataFrame({"leaf": leaf, "id": ids[row], "own": own, "v": [raw[r] for r in row]})
+                yield pd.DataFrame({"leaf": leaf, "id": part["rep"].to_numpy()[row], "own": own, "v": part["v"].to_numpy()[row]})
 
-    routed = reps.select("rep", "v").mapInPandas(route, "leaf long, id long, own boolean, v binary")
+    routed = spread(reps.select("rep", "v")).mapInPandas(route, "leaf long, id long, own boolean, v binary")
     # members of a leaf are dealt into blocks; queries meet every block of the leaf
-    members = routed.where("own").groupBy("leaf").agg(F.count("*").alias("m"))
+    members = spread(reps.select("v")).mapInPandas(own_leaves, "leaf long, m long").groupBy("leaf").agg(F.sum("m").alias("m"))
     blocks = {r["leaf"]: -(-r["m"] // most_in_block) for r in members.where(F.col("m") > most_in_block).collect()}
     crowded = spark.sparkContext.broadcast(blocks)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         many = crowded.value
         for batch in batches:
-            if not many:
-                yield batch.assign(block=0, ask=True)
-                continue
             n = batch["leaf"].map(many).fillna(1).astype("int64")
             mine = batch["id"] % n
             parts = []
             for b in range(int(n.max())):
                 part = batch[n > b]
                 hold = part["own"] & (mine[n > b] == b)
-                parts.append(part.assign(block=b, own=hold, ask=True))
+                parts.append(part.assign(block=b, own=hold))
             yield pd.concat(parts)
 
-    dealt = routed.mapInPandas(deal, "leaf long, id long, own boolean, v binary, block long, ask boolean")
+    dealt = routed.mapInPandas(deal, "leaf long, id long, own boolean, v binary, block long") if blocks else routed.withColumn("block", F.lit(0))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         inside = group[group["own"].to_numpy()]
         asked = group["id"].to_numpy()
         ids = inside["id"].to_numpy()
-        x = np.frombuffer(b"".join(inside["v"]), dtype=np.float32).reshape(len(inside), -1)
+        x = _matrix(inside["v"], dimension)
         found = []
         for a in range(0, len(group), 1024):
-            q = np.frombuffer(b"".join(group["v"].iloc[a : a + 1024]), dtype=np.float32).reshape(-1, dimension)
+            q = _matrix(group["v"].iloc[a : a + 1024], dimension)
             if not len(x):
                 break
             near = q @ x.T
@@ -268,13 +273,13 @@ def recall(vectors: DataFrame, neighbours: DataFrame, every: int = 20, least: fl
         block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).toPandas()
         if not len(block):
             continue
-        shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _matrix(block["v"]).astype(np.float64)))
+        shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _matrix(block["v"], dimension).astype(np.float64)))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
             q = q / np.linalg.norm(q, axis=1, keepdims=True)
             for batch in batches:
-                x = _matrix(batch["v"]).astype(np.float64)
+                x = _matrix(batch["v"], dimension).astype(np.float64)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 near = q @ x.T
                 i, j = np.nonzero(near >= least - 1e-9)
