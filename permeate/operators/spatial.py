@@ -106,7 +106,8 @@ def surface(atoms: DataFrame, probe: float = 1.40, n_points: int = 100, keys: tu
         apart = np.column_stack([dx, dy, dz])
         for a in range(0, len(dx), 2048):
             at = apart[a : a + 2048, None, :] + r.to_numpy()[a : a + 2048, None, None] * unit[None]
-            lost = (at * at).sum(axis=2) <= (other.to_numpy()[a : a + 2048] ** 2)[:, None]
+            # a point on the rim is lost; the factor keeps rounding from deciding it
+            lost = (at * at).sum(axis=2) <= (other.to_numpy()[a : a + 2048] ** 2 * (1 + 1e-12))[:, None]
             for i, weights in enumerate(bits):
                 out[a : a + 2048, i] = lost[:, i * _WORD : i * _WORD + len(weights)] @ weights
         return pd.DataFrame(out, columns=[f"m{i}" for i in range(len(words))])

@@ -81,12 +81,10 @@ def flatten(entries: DataFrame, spec: dict[str, list[str]] | None = None, keep:
             null = F.lit(None).cast("string")
             if r.kind == "struct":
                 got = value.getField(sub) if _has(kind, sub) else null
-                if _has(kind, sub) and isinstance(kind[sub].dataType, T.ArrayType) and not isinstance(kind[sub].dataType.elementType, T.StructType):
-                    got = value.getField(sub)
             elif r.kind == "expand":
                 got = F.col(f"_x_{r.field}").getField(sub) if _has(kind.elementType, sub) else null
             elif r.kind == "nest":
-                got = F.transform(value, lambda x, s=sub: x.getField(s)) if _has(kind.elementType, sub) else null
+                got = value.getField(sub) if _has(kind.elementType, sub) else null  # of an array of structs: an array
             elif r.kind == "first":
                 got = F.get(value, F.lit(0)) if not isinstance(kind.elementType, T.StructType) else null
             else:
