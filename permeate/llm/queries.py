@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from permeate.llm import canonical, leakage, mixing, neighbours, pairs, splitting, templates
 from permeate.plans import core_problems
-from permeate.session import table
+from permeate.session import spread, table
 
 
 def p2_mapped(spark: SparkSession, d: str) -> DataFrame:
     """Every component value with its list entry, how it was found and the score."""
-    return canonical.map_to_list(core_problems.p1_components(spark, d), table(spark, d, "ref_components"))
+    return canonical.map_to_list(spread(core_problems.p1_components(spark, d)), table(spark, d, "ref_components"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p4_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     """Every triggered defect type with its rank."""
-    return pairs.flag_pairs(table(spark, d, "llm_responses"))
+    return pairs.flag_pairs(spread(table(spark, d, "llm_responses").select("resp_id", "prompt", "response")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     """All pieces of the oversized texts."""
-    return splitting.split_oversized(table(spark, d, "text_database"), 2000, 200)
+    return splitting.split_oversized(spread(table(spark, d, "text_database").select("text_id", "doi", "chunk_index", "chunk_text")), 2000, 200)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Leaked passages with their length, changed words and place in the document."""
     items = table(spark, d, "eval_items").select("item_id", F.col("passage").alias("text"))
-    return leakage.find_leaks(table(spark, d, "documents"), items)
+    return leakage.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), items)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,16 +75,16 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual token share per source."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.mix(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_targets"))[1]
 
 
 def p9_positions(spark: SparkSession, d: str) -> DataFrame:
     """Training position of every use of a document."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mix(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_targets"))[0]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return templates.find_residue(table(spark, d, "documents"))
+    return templates.find_residue(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p10_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_templates(spark: SparkSession, d: str) -> DataFrame:
     """Flagged templates with their kind and count."""
-    return templates.mine_templates(table(spark, d, "documents")).where("kind is not null")
+    return templates.mine_templates(spread(table(spark, d, "documents").select("text"))).where("kind is not null")
 
 
 QUERIES = {
