@@ -25,6 +25,14 @@ FILLER = frozenset(
     "litre liter millilitre milliliter micrograms percent molar millimolar micromolar nanomolar mm um nm m mol mmol umol nmol pmol l ml ul dl "
     "mg ug ng g kg v w vol wt dm m3 dm3 l1 ml1 mmoll h2o".split()
 )
+# Common chemical words. Where the list does not hold one, it is another substance and no misspelling.
+CHEMICAL = frozenset(
+    "lithium sodium potassium rubidium cesium caesium ammonium magnesium calcium strontium barium manganese iron cobalt nickel copper zinc cadmium silver mercury lead aluminium tin chromium "
+    "fluoride chloride bromide iodide oxide hydroxide sulfide sulfate sulfite nitrate nitrite phosphate carbonate acetate formate citrate tartrate oxalate succinate malonate thiocyanate cyanide azide borate perchlorate "
+    "methyl ethyl propyl butyl pentyl hexyl heptyl octyl nonyl decyl undecyl dodecyl tridecyl tetradecyl maltoside glucoside thiomaltoside thioglucoside galactoside "
+    "methanol ethanol propanol isopropanol butanol glycerol glycol urea glycine alanine valine proline arginine lysine glucose fructose maltose sucrose trehalose raffinose lactose bicine tricine".split()
+)
+_FORMULA = re.compile(r"^(?=.*[A-Z].*[A-Z0-9])(?:[A-Z][a-z]?\d*|\(|\)\d*)+$")
 _HYDRATE = re.compile(r"\s*[·•∙.*x×]\s*\d*\s*h\s*2\s*o\s*$", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 _GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta"}
@@ -183,7 +191,7 @@ class CanonicalList:
     def _similar(self, text: str) -> tuple[frozenset[int], float]:
         """Token-set similarity: every content word must stand for a list word and all words of an entry be met."""
         words = [w for w in self._content(tokens(text)) if not self._noise(w)]
-        if not words:
+        if not words or any(w in CHEMICAL and w not in self.words for w in words):
             return frozenset(), 0.0
         out = self._cover(words)
         if not out[0]:
@@ -243,6 +251,9 @@ class CanonicalList:
             if len(both) == 1:
                 return next(iter(both)), a[1], max(a[2], b[2])
         first, second = (a, b) if _RANK[a[1]] <= _RANK[b[1]] else (b, a)
+        other = formula if first is a else name
+        if first[1] == "similar" and second[1] == "unknown" and _FORMULA.match(formula_key(other, True)):
+            return -1, "unmatched", 0.0  # the formula is that of another substance
         for refs, how, score in (first, second):
             if len(refs) == 1:
                 return next(iter(refs)), how, score
