@@ -1,0 +1,37 @@
+"""Every query of the subpackage on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from permeate.llm import queries
+
+DATA = "/root/testdata/sf0.001"
+COLUMNS = {
+    "p2_found": ["row_id", "path", "ref_id"],
+    "p4_found": ["vec_id_a", "vec_id_b"],
+    "p5_found": ["resp_id", "defect"],
+    "p7_found": ["text_id", "cut"],
+    "p8_found": ["doc_id", "item_id"],
+    "p10_found": ["doc_id", "kind"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_runs(spark, name):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    df = queries.QUERIES[name](spark, DATA)
+    rows = df.collect()
+    if name in COLUMNS:
+        assert df.columns == COLUMNS[name] and len(set(rows)) == len(rows) > 0
+
+
+def test_cuts_against_sql(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.sql(f"create view text_database as select * from '{DATA}/text_database.parquet'")
+    want = sorted(con.sql(queries.ORACLE["p7_found"]).fetchall())
+    assert sorted(tuple(r) for r in queries.p7_found(spark, DATA).collect()) == want
