@@ -1,8 +1,10 @@
 """Template residue and error pages in place of real content (problem 10).
 
 Method: message templates are mined with a fixed-depth prefix tree (token count, first tokens, then the most
-similar group of the leaf). A template is classified once, its verdict is propagated to every segment that falls
-into it and confirmed on the segment itself; unfilled slots inside ordinary records are detected separately.
+similar group of the leaf). A positive verdict of a template is propagated to every segment that falls into it and
+confirmed on the segment itself. A negative one is not: wildcards hide what differs, so a segment of an ordinary
+template is classified unless it is the very one classified last. Unfilled slots inside ordinary records are detected
+separately.
 """
 
 from __future__ import annotations
@@ -68,7 +70,7 @@ class PrefixTree:
         return node.setdefault(None, [])
 
     def add(self, segment: str) -> list:
-        """The group ``[template tokens, count, verdict]`` of a segment, made or widened as needed."""
+        """The group ``[template tokens, count, verdict, last segment classified]`` of a segment, made or widened as needed."""
         words = self.masked(segment)
         groups = self.leaf(words)
         best, score = None, -1
@@ -82,7 +84,7 @@ class PrefixTree:
             if self.size >= self.most:
                 self.root, self.size = {}, 0
                 groups = self.leaf(words)
-            best = [words, 1, self.classify(segment)]
+            best = [words, 1, self.classify(segment), segment]
             groups.append(best)
             self.size += 1
             return best
@@ -91,8 +93,8 @@ class PrefixTree:
             merged = tuple(a if a == b else WILD for a, b in zip(best[0], words))
             if merged != best[0]:
                 best[0] = merged
-                if best[2] is None:  # a widened template is classified again by the segment that widened it
-                    best[2] = self.classify(segment)
+        if best[2] is None and segment != best[3]:  # only positive verdicts hold for segments that differ under the mask
+            best[2], best[3] = self.classify(segment), segment
         return best
 
     def groups(self) -> Iterator[list]:
@@ -150,15 +152,17 @@ _REASONS = (
     r"too many requests|internal (?:server )?error|server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?\s?out|gateway timed out|"
     r"access denied|sign-in needed|log-?in required|payment required|payload too large|unsupported media type|temporarily unavailable|time-out|timed out|unavailable"
 )
+# Marks of failed requests and programs that no ordinary sentence has; no other word speaks against them.
+_SURE = r"""^\W*(?:error|http\ error)\s*[:#]?\s*[1-5]\d\d\b
+  | <h\d>\s*[1-5]\d\d\b | <title>\s*[1-5]\d\d\b
+  | "(?:status|code|statuscode)"\s*:\s*"?[45]\d\d\b | "error"\s*:\s*["{]
+  | ^\W*traceback\ \(most\ recent\ call\ last\) | ^\s*file\ ".+",\ line\ \d+ | ^\s*at\ [\w.$<>]+\([\w.]+:\d+\)\s*$  | ^\W*exception\ in\ thread | ^\W*segmentation\ fault"""
 _ERROR = re.compile(
     rf"""
     ^\W*(?:http(?:/\d(?:\.\d)?)?\s*)?(?:error|erreur|fehler|code|status)?\s*[:#]?\s*[1-5]\d\d\s*[:–—-]?\s*\(?(?:{_REASONS})\b(?!\s+(?:of|in|to|by|for|again|after)\b)
   | ^\W*(?:{_REASONS})\W*$
-  | ^\W*(?:error|http\ error)\s*[:#]?\s*[1-5]\d\d\b
-  | <h\d>\s*[1-5]\d\d\b | <title>\s*[1-5]\d\d\b
-  | "(?:status|code|statuscode)"\s*:\s*"?[45]\d\d\b | "error"\s*:\s*["{{]
-  | ^\W*traceback\ \(most\ recent\ call\ last\) | ^\s*file\ ".+",\ line\ \d+ | ^\s*at\ [\w.$<>]+\([\w.]+:\d+\)\s*$
-  | ^\W*(?:[\w.]*)(?:error|exception):\s | ^\W*[A-Z]\w+(?:Error|Exception)\W*$ | ^\W*exception\ in\ thread | ^\W*segmentation\ fault | ^\W*fatal\ error\b | ^\W*stack\ trace:
+  | {_SURE}
+  | ^\W*(?:[\w.]*)(?:error|exception):\s | ^\W*[A-Z]\w+(?:Error|Exception)\W*$ | ^\W*fatal\ error\b | ^\W*stack\ trace:
   | \b(?:nginx|apache|iis|lighttpd)\b.{{0,12}}(?:gateway|/\d|server\ at)
   | ^\W*(?:oops|whoops|sorry)\W+(?:something|an\ error|we\b|this\ page|the\ page)
   | \bsomething\ went\ wrong\b(?!\s+(?:in|during|with\ the\ (?:sample|grid|fit)))
@@ -181,14 +185,17 @@ _ERROR = re.compile(
 # Reported speech and settings in which error words are part of a finding.
 _NO_ERROR = re.compile(r"\b(?:times\ with|answered\ with|old\ links|of\ the\ fit|particles|second\ pick|grid\ is\ short|to\ the\ pore|ions|were\ left\ out|before\ the\ map|server-side\ refinement)\b", re.X | re.I)
 
+_SURE_ERROR = re.compile(_SURE, re.X | re.I)
+
 _JS = r"(?:java\s?script|js|ecmascript|(?:client-side\ |browser\ )?script(?:s|ing)?|client-side\ scripts?)"
+_DEMAND = rf"""^\W*(?:please\ |you\ (?:must|need\ to|have\ to|should)\ |kindly\ |to\ (?:view|continue|see|use|read|open)\b.{{0,40}})?(?:enable|allow|activate|turn\ on|switch\ on|permit|accept|unblock)\ (?:the\ use\ of\ )?{_JS}\b | <noscript\b"""
 _SCRIPT = re.compile(
     rf"""
-    ^\W*(?:please\ |you\ (?:must|need\ to|have\ to|should)\ |kindly\ |to\ (?:view|continue|see|use|read|open)\b.{{0,40}})?(?:enable|allow|activate|turn\ on|switch\ on|permit|accept|unblock)\ (?:the\ use\ of\ )?{_JS}\b
+    {_DEMAND}
   | \b(?:requires?|needs?)\ {_JS}\b(?!\s+(?:error|version))
   | \b(?:works?|work\ properly|function|load|display|run)\ (?:properly\ )?without\ {_JS}
   | \b{_JS}\ (?:is|are|has\ been|seems?\ to\ be|must\ be|needs?\ to\ be|to\ be)\ (?:currently\ )?(?:disabled|turned\ off|switched\ off|switched\ on|turned\ on|enabled|required|blocked|allowed|off|not\ (?:enabled|available|supported))
-  | \b{_JS}\ disabled\b | <noscript\b
+  | \b{_JS}\ disabled\b
   | \bdoes\ not\ support\ (?:the\ )?{_JS} | \b(?:browser|device)\b.{{0,30}}\bnot\ support\b.{{0,20}}{_JS}
   | \bchecking\ your\ browser\ before | ^\W*checks?\ (?:of\ )?your\ browser\b | \bcheck\ your\ browser\ settings\b
   | \b(?:allow|enable|accept)\ (?:js|cookies)\ and\ (?:js|cookies|scripts|javascript)
@@ -199,6 +206,7 @@ _SCRIPT = re.compile(
     re.X | re.I,
 )
 _NO_SCRIPT = re.compile(r"\b(?:were\ told\ to|was\ told\ to|written\ in|users\ of|script-based|picking|earlier\ viewer)\b", re.X | re.I)
+_SURE_SCRIPT = re.compile(_DEMAND, re.X | re.I)
 
 # Stock sentences that stand where content should.
 _STOCK = re.compile(
@@ -271,9 +279,9 @@ _ERROR_KEY = re.compile("|".join(map(re.escape, sorted(set(_ERROR_KEYS) - {"at",
 def classify(segment: str) -> str | None:
     """Kind of one segment, without slots; None for ordinary text."""
     low = segment.lower()
-    if any(k in low for k in _SCRIPT_KEYS) and _SCRIPT.search(segment) and not _NO_SCRIPT.search(segment):
+    if any(k in low for k in _SCRIPT_KEYS) and _SCRIPT.search(segment) and (not _NO_SCRIPT.search(segment) or _SURE_SCRIPT.search(segment)):
         return "script_notice"
-    if (_ERROR_KEY.search(low) or low.startswith(("file ", "at "))) and _ERROR.search(segment) and not _NO_ERROR.search(segment):
+    if (_ERROR_KEY.search(low) or low.startswith(("file ", "at "))) and _ERROR.search(segment) and (not _NO_ERROR.search(segment) or _SURE_ERROR.search(segment)):
         return "error_page"
     if is_filler(segment):
         return "filler"

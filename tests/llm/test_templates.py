@@ -62,6 +62,37 @@ def test_verdicts_do_not_depend_on_the_tree():
     assert first == [small.kind(t) for t in reversed(texts)][::-1]
 
 
+PAIRS = [
+    ("at 4°C", "at org.app.View(View.java:88)", "error_page"),
+    ("127", "<h1>404</h1>", "error_page"),
+    ("{ECO:0000269}", "<h1>404</h1>", "error_page"),
+    ("Grid 12 is short", "Error 502: particles", "error_page"),
+    ("Table 4", "Error 404", "error_page"),
+]
+
+
+@pytest.mark.parametrize(("ordinary", "residue", "kind"), PAIRS)
+def test_ordinary_lines_hide_no_residue(ordinary, residue, kind):
+    assert ResidueFinder().kind(ordinary) is None
+    for order in ([ordinary] * 3 + [residue], [residue] + [ordinary] * 3, [ordinary, residue, ordinary]):
+        assert ResidueFinder().kind("\n".join(order)) == kind
+        finder = ResidueFinder()
+        assert [finder.kind(x) for x in order] == [kind if x == residue else None for x in order]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("<h1>503</h1> the particles were left out", "error_page"),
+        ("Error 500 before the map was loaded", "error_page"),
+        ("Traceback (most recent call last): particles", "error_page"),
+        ("Please enable JavaScript for picking.", "script_notice"),
+    ],
+)
+def test_domain_words_veto_no_plain_residue(text, kind):
+    assert ResidueFinder().kind(text) == kind
+
+
 def test_templates_merge_what_differs():
     tree = PrefixTree(classify, depth=2)
     for i in range(5):
