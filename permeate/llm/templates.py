@@ -39,11 +39,12 @@ class PrefixTree:
     Level 1 is the token count, the next ``depth`` levels are the first tokens (tokens with digits count as
     wildcards, and so does any token once a node has ``fan`` children). A leaf holds groups; a segment joins the
     group with the largest share of equal tokens if that reaches ``similar``, and tokens that differ become
-    wildcards. The tree forgets everything beyond ``most`` templates: verdicts do not depend on it, only the
-    number of classifications does.
+    wildcards. At ``most`` templates the tree starts anew: verdicts do not depend on it, only the number of
+    classifications does. With ``hand_over`` the groups so far wait in ``full`` for the caller, else they are forgotten.
     """
 
-    def __init__(self, classify, depth: int = 6, fan: int = 500, similar: float = 0.5, most: int = 20_000):
+    def __init__(self, classify, depth: int = 6, fan: int = 500, similar: float = 0.5, most: int = 20_000, hand_over: bool = False):
+        self.hand_over, self.full = hand_over, []
         self.classify, self.depth, self.fan, self.similar, self.most = classify, depth, fan, similar, most
         self.root: dict = {}
         self.size = 0
@@ -82,6 +83,8 @@ class PrefixTree:
                     break
         if best is None or score < self.similar * len(words):
             if self.size >= self.most:
+                if self.hand_over:
+                    self.full.extend(self.groups())
                 self.root, self.size = {}, 0
                 groups = self.leaf(words)
             best = [words, 1, self.classify(segment), segment]
@@ -330,19 +333,26 @@ def find_residue(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInPandas(work, "doc_id long, kind string")
 
 
-def mine_templates(documents: DataFrame, least: int = 2) -> DataFrame:
+def mine_templates(documents: DataFrame, least: int = 2, most: int = 20_000) -> DataFrame:
     """``(template, kind, n)``: templates met at least ``least`` times, with their verdict.
 
-    Each partition mines its own tree; equal templates are then summed. Only templates are shuffled.
+    Each partition mines its own trees of at most ``most`` templates, one after the other, and hands over the templates
+    of every tree, so each segment is counted once; equal templates are then summed. Only templates are shuffled.
     """
 
+    def frame(groups) -> pd.DataFrame:
+        return pd.DataFrame([(" ".join(g[0]), g[2], g[1]) for g in groups], columns=["template", "kind", "n"])
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = PrefixTree(classify)
+        tree = PrefixTree(classify, most=most, hand_over=True)
         for batch in batches:
             for text in batch["text"]:
                 for s in segments(text):
                     tree.add(s)
-        yield pd.DataFrame([(" ".join(g[0]), g[2], g[1]) for g in tree.groups()], columns=["template", "kind", "n"])
+                if tree.full:
+                    yield frame(tree.full)
+                    tree.full = []
+        yield frame(tree.groups())
 
     mined = documents.select("text").where("text is not null").mapInPandas(work, "template string, kind string, n long")
     return mined.groupBy("template").agg(F.max("kind").alias("kind"), F.sum("n").alias("n")).where(F.col("n") >= least)

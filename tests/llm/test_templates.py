@@ -111,3 +111,12 @@ def test_table(spark):
     assert sorted(tuple(r) for r in find_residue(df).collect()) == [(1, "placeholder"), (1, "placeholder")]
     assert find_residue(df.limit(0)).count() == 0
     assert mine_templates(spark.createDataFrame([(i, "Error 404: not found.") for i in range(4)], "doc_id long, text string")).first().n == 4
+
+
+def test_full_trees_hand_over_their_templates(spark):
+    texts = [f"Error 404: not found. {chr(97 + i % 26)}{chr(97 + i // 26)} stands alone here." for i in range(200)] + ["Lorem ipsum dolor sit amet."] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    rows = mine_templates(df, least=1, most=5).collect()
+    assert sum(r.n for r in rows) == sum(len(segments(t)) for t in texts)
+    kinds = {r.kind: r.n for r in mine_templates(df, most=5).where("kind is not null").collect()}
+    assert kinds == {"error_page": 200, "filler": 2}
