@@ -68,11 +68,14 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Direct and inherited orphans per table and depth: structures <- mpstruc members <- pdbtm helices of the member."""
+    """Direct and inherited orphans per table and depth: structures <- mpstruc members <- pdbtm helices of the member.
+
+    Both tables refer to structures, so direct orphans of both start the cascade; a row that is one is never inherited.
+    """
     pdbtm = table(spark, d, "pdbtm").select("row_id", orphans.code_key(F.col("pdbCode")).alias("code"))
     mpstruc = table(spark, d, "mpstruc").select("row_id", orphans.code_key(F.col("member_struc")).alias("code"), orphans.code_key(F.col("main_struc")).alias("main"))
     edges = [orphans.ForeignKey("pdbtm", ("code",), "mpstruc", ("code",)), orphans.ForeignKey("mpstruc", ("main",), "mpstruc", ("code",))]
-    direct = p6_found(spark, d).where("ref_table = 'mpstruc'").select(F.col("ref_table").alias("table"), "row_id")
+    direct = p6_found(spark, d).select(F.col("ref_table").alias("table"), "row_id")
     out = orphans.orphan_cascade({"pdbtm": pdbtm, "mpstruc": mpstruc}, {"pdbtm": "row_id", "mpstruc": "row_id"}, edges, direct)
     return out.groupBy(F.col("table").alias("ref_table"), "origin", "depth").agg(F.count("*").alias("n_rows"))
 
