@@ -5,13 +5,15 @@ digits) scans each document once; every hit is extended word by word in both dir
 back to the original text.
 
 With at most one changed word in eight, 25 words in a row hold at least 22 unchanged ones in at most four runs, so
-one run has six words or more: seeds of five words miss no case.
+one run has six words or more: seeds of five words miss no case. From a seed the passage is aligned with the document
+in both directions, change by change: each changed, missing or added word counts once, wherever it stands.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|&(?:[A-Za-z]+|#\d+);")
 _NOT_ALNUM = re.compile(r"[\W_]+")
+_GAP = re.compile(r"\s|<|&nbsp;|&#160;")
 
 
 def squeeze(text: str) -> str:
@@ -70,48 +73,46 @@ class PassageIndex:
             self.automaton.make_automaton()
         self.back = [[w[::-1] for w in words[::-1]] for words in self.words]
 
-    def _extend(self, words: list[str], doc: str, j: int, pos: int) -> tuple[list[bool], int]:
-        """Flags (unchanged or not) of the passage words from j on, as far as the document follows, and its end."""
-        flags: list[bool] = []
-        end = pos
-        while j < len(words):
-            if doc.startswith(words[j], pos):
-                flags.append(True)
-                pos += len(words[j])
-                j += 1
-                end = pos
-                continue
-            for k in range(0, 4):  # k changed words; none: the document has a word more
-                if j + k >= len(words):
-                    break
-                ahead = "".join(words[j + k : j + k + 3])
-                if len(ahead) < 5:
-                    continue
-                found = doc.find(ahead, pos, pos + 24 * (k + 1) + len(ahead))
-                if found >= 0:
-                    flags += [False] * max(k, 1)
-                    if k == 0:
-                        flags[-1] = False
-                    pos, j = found, j + k
-                    break
-            else:
+    def _extend(self, words: list[str], doc: str, j: int, pos: int, bounds: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+        """``(words followed, end)`` from word j on with 0, 1, 2, ... changes: the furthest that the document follows.
+
+        Unchanged words are always followed at once; a change replaces a word by one of the document (up to the next
+        boundary), leaves it out or adds one. Where boundaries are lost, the next three words show where it goes on.
+        """
+        first, n, most = j, len(words), len(words) // self.every
+        level, seen, out = [(j, pos, pos)], set(), []
+        for c in range(most + 1):
+            ends, ahead = [], {}
+            for j, pos, end in level:
+                while j < n and doc.startswith(words[j], pos):
+                    pos += len(words[j])
+                    j, end = j + 1, pos
+                if (j, pos) not in seen:
+                    seen.add((j, pos))
+                    ends.append((j, pos, end))
+            out.append(max([(j - first, end) for j, _, end in ends] + out[-1:]))
+            if out[-1][0] == n - first or c == most:
                 break
-            if j + k >= len(words) and not doc.startswith(words[min(j, len(words) - 1)], pos):
-                break
-        while flags and not flags[-1]:
-            flags.pop()
-        return flags, end
-
-    def _best(self, flags: list[bool]) -> tuple[int, int]:
-        """(words, changed) of the longest window of the passage that keeps the share of changed words."""
-        best, changed = (0, 0), [0]
-        for f in flags:
-            changed.append(changed[-1] + (not f))
-        for a in range(len(flags)):
-            for b in range(len(flags), a + best[0], -1):
-                if (changed[b] - changed[a]) * self.every <= b - a:
-                    best = (b - a, changed[b] - changed[a])
-                    break
+            for j, pos, end in ends:
+                stops = {b[k] for b in bounds if (k := bisect_right(b, pos)) < len(b)}
+                level_next = [(j + 1, pos, end), *((j + 1, x, end) for x in stops), *((j, x, end) for x in stops)]
+                for k in (0, 1):
+                    look = "".join(words[j + k : j + k + 3])
+                    if len(look) >= 5 and (at := doc.find(look, pos, pos + 24 * (k + 1) + len(look))) >= 0:
+                        level_next.append((j + k, at, end))
+                for x in level_next:
+                    if x[0] <= n:
+                        ahead[x[:2]] = x
+            level = list(ahead.values())
+        return out
+
+    def _best(self, left: list[tuple[int, int]], right: list[tuple[int, int]]) -> tuple[int, int, int, int]:
+        """(words, changed, end to the left, end to the right) of the longest window that keeps the share of changes."""
+        best = (0, 0, 0, 0)
+        for a, (n, back) in enumerate(left):
+            for b, (m, stop) in enumerate(right):
+                if (a + b) * self.every <= n + m and (n + m, -a - b) > (best[0], -best[1]):
+                    best = (n + m, a + b, back, stop)
         return best
 
     def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
@@ -125,27 +126,28 @@ class PassageIndex:
                 seeds.setdefault(which, []).append((end + 1 - length, j))
         if not seeds:
             return []
-        rev = doc[::-1]
+        where, rev = offsets(text), doc[::-1]
+        gaps = [k for k in range(1, len(where)) if where[k] - where[k - 1] > 1]
+        wide = [k for k in gaps if _GAP.search(text, where[k - 1], where[k])]
+        forth = tuple([*x, len(doc)] for x in (gaps, wide))
+        back_to = tuple([*(len(doc) - k for k in reversed(x)), len(doc)] for x in (gaps, wide))
         out = []
         for which, hits in seeds.items():
-            best, span, done = (0, 0), (0, 0), -1
+            words, best, done = self.words[which], (0, 0, 0, 0), set()
             for pos, j in sorted(hits):
-                if pos < done:
+                if (pos, j) in done:  # on an unchanged run that has been extended
                     continue
-                right, stop = self._extend(self.words[which], doc, j, pos)
-                n = len(self.words[which])
-                left, back = self._extend(self.back[which], rev, n - j, len(doc) - pos)
-                done = max(stop - 1, pos + 1)
-                # words of the passage beside the match may stand there changed
-                before, after = min(3, j - len(left)), min(3, n - j - len(right))
-                got = self._best([False] * before + left[::-1] + right + [False] * after)
-                if got > best:
-                    best, span = got, (len(doc) - back, stop)
+                right = self._extend(words, doc, j, pos, forth)
+                left = self._extend(self.back[which], rev, len(words) - j, len(doc) - pos, back_to)
+                at = pos
+                for k in range(j, j + right[0][0]):
+                    done.add((at, k))
+                    at += len(words[k])
+                got = self._best(left, right)
+                if (got[0], -got[1]) > (best[0], -best[1]):
+                    best = got
             if best[0] >= self.least:
-                out.append((self.items[which], *best, *span))
-        if not out:
-            return []
-        where = offsets(text)
+                out.append((self.items[which], best[0], best[1], len(doc) - best[2], best[3]))
         return sorted((i, w, c, where[a], where[b - 1] + 1) for i, w, c, a, b in out)
 
 

@@ -70,3 +70,28 @@ def test_table(spark):
     assert sorted((r.doc_id, r.item_id) for r in find_leaks(docs, evals).collect()) == want
     assert sorted((r.doc_id, r.item_id) for r in find_leaks(docs, evals, max_items=1).collect()) == want
     assert find_leaks(docs.limit(0), evals).count() == 0 and find_leaks(docs, evals.limit(0)).count() == 0
+
+
+def test_random_changes_against_brute_force():
+    rng = random.Random(8)
+    cases = [(25, {8, 11}), (25, {5, 7, 20}), (32, {12, 13, 14, 15}), (25, {7, 12, 18})]
+    for _ in range(300):
+        n = rng.randint(25, 50)
+        cases.append((n, set(rng.sample(range(n), rng.randint(0, n // 8)))))
+    for n, changed in cases:
+        words = [f"other{k}" if k in changed else w for k, w in enumerate(WORDS[4 : 4 + n])]
+        (found,) = [x for x in INDEX.find("lead " + " ".join(words) + " tail") if x[0] == 7]
+        assert found[1] >= n and found[2] * 8 <= found[1]
+
+
+def test_too_many_changes_are_no_case():
+    rng = random.Random(9)
+    for _ in range(200):
+        n = rng.randint(25, 50)
+        changed = {k + rng.randrange(5) for k in range(0, n, 6)}
+        kept = [k not in changed for k in range(n)]
+        # brute force: windows of at least 25 of the 60 words, all words outside the quotation being changed
+        flags = [False] * 4 + kept + [False] * (56 - n)
+        want = any((b - a) >= 25 and flags[a:b].count(False) * 8 <= b - a for a in range(60) for b in range(a + 25, 61))
+        words = [w if ok else f"other{k}" for k, (w, ok) in enumerate(zip(WORDS[4 : 4 + n], kept))]
+        assert bool(items("lead " + " ".join(words) + " tail")) == want
