@@ -4,4 +4,4 @@ from permeate.plans import core_problems, reference_queries
 
 QUERIES = {**reference_queries.QUERIES, **core_problems.QUERIES}
 ORACLE = {**reference_queries.ORACLE, **core_problems.ORACLE}
-FLAGSHIP = "rag_prompts"
+FLAGSHIP = "rag_prompts_all"

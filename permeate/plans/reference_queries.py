@@ -79,10 +79,16 @@ joined as (select h.vec_id, h.doi, h.similarity, l.chunk_text from hits h join l
 select doi, '{PROMPT}' || chr(10) || chr(10) || '**Context:**' || chr(10) || combined || chr(10) || chr(10) || '**Answer:' as combined_prompt from b4 where combined <> ''"""
 )
 def rag_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: search, join, ordered concatenation under a budget, template."""
+    """Search for the 2,000 most similar chunks only, join, ordered concatenation under a budget, template (with SQL)."""
     return retrieval.build_prompts(table(spark, d, "vector_database"), table(spark, d, "text_database"), query_vector(spark, d), PROMPT, 0.0, 2000, 3000)
 
 
+@query()
+def rag_prompts_all(spark: SparkSession, d: str) -> DataFrame:
+    """Flagship: every hit of the search without a row cap, join, ordered concatenation under the reference's budget, template."""
+    return retrieval.build_prompts(table(spark, d, "vector_database"), table(spark, d, "text_database"), query_vector(spark, d), PROMPT, 0.0, None, 12_000)
+
+
 @query(f"with {_LATEST_SQL} select doi, chunk_index, chunk_text, text_id from latest")
 def chunk_lookup_lastwins(spark: SparkSession, d: str) -> DataFrame:
     return batch.last_wins(table(spark, d, "text_database").select("doi", "chunk_index", "chunk_text", "text_id"), ["doi", "chunk_index"], "text_id")

@@ -13,6 +13,7 @@ from permeate.functions import text_clean as tc
 from permeate.functions import vectors as v
 from permeate.models import backends
 from permeate.operators import batch, hierarchy, retrieval
+from permeate.plans import catalogue
 from permeate.sinks import writers
 from permeate.sources import files, json_flatten, rest, xml
 from permeate.streaming import ingest
@@ -242,3 +243,10 @@ def test_stream_stores_each_key_once(spark, tmp_path):
     spark.createDataFrame([(2, "again"), (3, "c")], "k int, v string").write.mode("append").parquet(src)
     ingest.ingest_new(spark, src, "k int, v string", dst, cp, ["k"]).awaitTermination(120)
     assert sorted(tuple(r) for r in spark.read.parquet(dst).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_flagship_gives_every_doi_with_a_hit_a_prompt(spark, tmp_path):
+    n = 2100
+    spark.createDataFrame([(i, f"10.1/{i}", 0, [1.0] * 64) for i in range(n)], "vec_id long, doi string, chunk_index int, embedding array<float>").write.parquet(f"{tmp_path}/vector_database.parquet")
+    spark.createDataFrame([(i, f"10.1/{i}", 0, f"text {i}") for i in range(n)], "text_id long, doi string, chunk_index int, chunk_text string").write.parquet(f"{tmp_path}/text_database.parquet")
+    assert catalogue.QUERIES[catalogue.FLAGSHIP](spark, str(tmp_path)).select("doi").distinct().count() == n
