@@ -178,6 +178,14 @@ def id_classify(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("structure_id", "id", batch.id_kind(F.col("id")).alias("kind"))
 
 
+@query()
+def id_classify_all(spark: SparkSession, d: str) -> DataFrame:
+    """The codes of all rows as they are, without outer white space; a null or blank code is no id and has no kind."""
+    flat = F.upper(F.regexp_replace("rcsb_id", r"(?U)^\s+|\s+$", ""))
+    code = F.when(flat != "", flat)
+    return table(spark, d, "structures").select("structure_id", code.alias("id"), F.when(code.isNotNull(), batch.id_kind(code)).alias("kind"))
+
+
 # ---------------------------------------------------------------- nested records
 
 ENTRY = "struct<rcsb_id: string, rcsb_primary_citation: struct<pdbx_database_id_DOI: string>, exptl: array<struct<method: string, method_details: string, details: string>>, struct: struct<title: string>>"
@@ -240,7 +248,16 @@ from mpstruc where {_PLAIN_SQL}"""
 )
 def xml_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each row written as an XML group and read back through the nested reader."""
-    rows = table(spark, d, "mpstruc").where(_PLAIN)
+    return _groups(table(spark, d, "mpstruc").where(_PLAIN))
+
+
+@query()
+def xml_groups_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same for all rows: the reader drops outer white space, blank elements are null or blank."""
+    return _groups(table(spark, d, "mpstruc"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
     member = F.concat(F.lit("<memberProteins><memberProtein>"), _tag("pdbCode", F.col("member_struc")), _tag("name", F.col("member_name")), F.lit("</memberProtein></memberProteins>"))
     protein = F.concat(
         F.lit("<protein>"),
@@ -249,7 +266,7 @@ def xml_groups(spark: SparkSession, d: str) -> DataFrame:
         _tag("resolution", F.col("main_res")),
         _tag("species", F.col("main_species")),
         _tag("taxonomicDomain", F.col("main_taxdom")),
-        F.when(F.col("member_struc").isNull(), "").otherwise(member),
+        F.when(F.col("member_struc").isNull() & F.col("member_name").isNull(), "").otherwise(member),
         F.lit("</protein>"),
     )
     text = F.concat(F.lit("<group>"), _tag("name", F.col("group_name")), F.lit("<subgroups><subgroup>"), _tag("name", F.col("subgroup")), F.lit("<proteins>"), protein, F.lit("</proteins></subgroup></subgroups></group>"))
@@ -259,7 +276,16 @@ def xml_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select upper(rcsb_id) as \"pdbCode\", structure_id::varchar as topdb_id, method as membrane from structures where nullif(trim(rcsb_id), '') = rcsb_id and nullif(trim(method), '') is not null")
 def xml_topology(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "structures").where("nullif(trim(rcsb_id), '') = rcsb_id and nullif(trim(method), '') is not null")
+    return _topology(table(spark, d, "structures").where("nullif(trim(rcsb_id), '') = rcsb_id and nullif(trim(method), '') is not null"))
+
+
+@query()
+def xml_topology_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same for all rows: a null code is no structure, its entry has no row; a null or blank method gives none."""
+    return _topology(table(spark, d, "structures"))
+
+
+def _topology(rows: DataFrame) -> DataFrame:
     text = F.concat(F.lit('<TOPDB xmlns="https://topdb.unitmp.org" ID="'), F.col("structure_id").cast("string"), F.lit('" type="x"><Topology>'), _tag("Membrane", F.col("method")), F.lit('</Topology><CrossRef><PDB ID="'), F.lower("rcsb_id"), F.lit('"/></CrossRef></TOPDB>'))
     return xml.topology_rows(rows.select(xml.topology_from_text(text).alias("t")).select("t.*")).select("topdb_id", "pdbCode", "membrane")
 
