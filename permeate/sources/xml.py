@@ -83,9 +83,17 @@ def read_helices(spark: SparkSession, path: str, flank_length: int = 5) -> DataF
 
 
 def read_topology(spark: SparkSession, path: str) -> DataFrame:
-    """Topology entries; structures and membrane may lie at any depth, so they are found by path expressions."""
-    raw = spark.read.format("xml").option("rowTag", "TOPDB").option("ignoreNamespace", "true").option("valueTag", "_VALUE").schema("_ID STRING, _type STRING, Membrane STRING, PDB ARRAY<STRUCT<_ID: STRING>>").load(path)
-    return topology_rows(raw)
+    """Topology entries; structures and membrane may lie at any depth, so they are found by path expressions.
+
+    The file is split behind each ``TOPDB>``, so it never has to fit in memory; what ends in a closing tag is an entry.
+    """
+    pieces = spark.read.option("lineSep", "TOPDB>").text(path)
+    # the last opening tag of a piece begins the entry; one without attributes was the split itself
+    start = F.regexp_extract("value", r"(?s)^.*(<(?:\w+:)?TOPDB\s.*)$", 1)
+    whole = F.concat(F.when(start != "", start).otherwise(F.concat(F.lit("<TOPDB>"), "value")), F.lit("TOPDB>"))
+    # null for other pieces and not a filter, which Spark may run behind the parsing
+    entry = F.when(F.col("value").rlike(r"</(?:\w+:)?$"), whole)
+    return topology_rows(pieces.select(topology_from_text(entry).alias("t")).select("t.*"))
 
 
 def topology_from_text(text: Column) -> Column:

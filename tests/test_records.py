@@ -265,3 +265,11 @@ def test_whole_tables_reach_the_record_operators(spark, tmp_path):
     assert sorted(got) == [0, 1, 2, 3, 4] and got[1].main_struc.strip() == "1abc" and got[1].member_struc.strip() == "2abc"
     assert got[4].member_struc is None and got[4].member_name == "m" and got[3].member_name is None
     assert sorted(int(r.topdb_id) for r in q["xml_topology_all"]) == [1, 2, 3, 4, 6]
+
+
+def test_topology_files_at_any_depth(spark, tmp_path):
+    nested = '<TOPDB ID="T{0}" type="a"><Topology><Membrane>Inner</Membrane></Topology>\n<CrossRef><PDB ID="{0}abc"/></CrossRef></TOPDB>\n'
+    empty = '<TOPDB ID="T8" type="a"/><TOPDB><CrossRef/></TOPDB>'
+    (tmp_path / "t.xml").write_text('<?xml version="1.0"?>\n<TOPDBS xmlns="https://topdb.unitmp.org">' + nested.format(1) + empty + nested.format(2) + "</TOPDBS>")
+    rows = sorted(tuple(r) for r in xml.read_topology(spark, str(tmp_path / "t.xml")).collect())
+    assert rows == [("T1", "a", "1ABC", "Inner"), ("T2", "a", "2ABC", "Inner")]
