@@ -27,7 +27,7 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The up to ten most similar vectors of every vector."""
+    """The up to ten most similar vectors of every vector, of those with a similarity of at least 0.9."""
     return neighbours.nearest(table(spark, d, "vector_database"))
 
 
@@ -36,7 +36,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of the index against brute force, for the vectors whose id is divisible by 20."""
+    """Recall of the index against brute force, for links of at least 0.9 of the vectors whose id is divisible by 20."""
     return neighbours.recall(table(spark, d, "vector_database"), p4_neighbours(spark, d))
 
 
