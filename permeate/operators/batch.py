@@ -5,18 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from permeate.session import cut
+
 
 def with_position(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     """Adds the 0-based position of each row in the order, without a single-task window.
 
-    Rows are range-partitioned, ranked inside each partition and shifted by the sizes of the partitions before
-    (one number per partition).
+    Rows are range-partitioned and sorted; equal keys are spread by an arrival number behind the key, so a hot key fills
+    no single task. Partition and place in it are written down together with the rows (`cut`) before the sizes of the
+    partitions are summed up: both readings see the same partitions, whatever the planner does with either. Nulls come
+    first, ties in any order. Columns of the helper's names are not touched.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sizes = inside.groupBy("_part").agg(F.count("*").alias("_n"))
-    start = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return inside.join(F.broadcast(start), "_part").withColumn(name, F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
+    tie, mark = _free(df, "_tie"), _free(df, "_mark")
+    keys = [F.col(f"`{c}`") for c in order]
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys, F.col(tie)).sortWithinPartitions(*keys, F.col(tie))
+    kept = cut(ranged.drop(tie).withColumn(mark, F.monotonically_increasing_id()))  # partition * 2**33 + place in it
+    part = F.shiftright(F.col(mark), 33)
+    sizes = kept.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    start = sizes.select(F.col("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    # one number per partition: bounded by the number of partitions
+    joined = kept.join(F.broadcast(start), part == start["_p"])
+    return joined.select(*[kept[f"`{c}`"] for c in df.columns], (start["_start"] + F.col(mark).bitwiseAND(F.lit(2**33 - 1))).alias(name))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the frame has it."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def batch_number(position: Column, size: int) -> Column:
