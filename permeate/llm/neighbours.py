@@ -7,6 +7,7 @@ vector is a query.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -140,17 +141,213 @@ def _matrix(column: pd.Series, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float32).reshape(-1, dimension)
 
 
+# ---------------------------------------------------------------- packed rows
+
+# Rows of one leaf travel packed: ids as int64, vectors as int8 codes with their scale and error as float32.
+_PACKED = "leaf string, stage int, n int, ids binary, codes binary, scales binary"
+
+
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """int8 codes of unit vectors and ``(scale, error)`` rows; ``error`` is the length of what the codes lose."""
+    scale = np.maximum(np.abs(x).max(axis=1), 1e-12) / 127
+    codes = np.rint(x / scale[:, None]).astype(np.int8)
+    error = np.linalg.norm(x - codes * scale[:, None], axis=1)
+    return codes, np.column_stack([scale, error]).astype(np.float32)
+
+
+@dataclass
+class Pack:
+    """Some rows of one leaf."""
+
+    ids: np.ndarray
+    codes: np.ndarray
+    scales: np.ndarray
+
+    @staticmethod
+    def read(ids: bytes, codes: bytes, scales: bytes) -> Pack:
+        i = np.frombuffer(ids, dtype=np.int64)
+        return Pack(i, np.frombuffer(codes, dtype=np.int8).reshape(len(i), -1), np.frombuffer(scales, dtype=np.float32).reshape(-1, 2))
+
+    @staticmethod
+    def join(packs: list[Pack]) -> Pack:
+        return packs[0] if len(packs) == 1 else Pack(*(np.concatenate([getattr(p, c) for p in packs]) for c in ("ids", "codes", "scales")))
+
+    def take(self, rows: np.ndarray) -> Pack:
+        return Pack(self.ids[rows], self.codes[rows], self.scales[rows])
+
+    def vectors(self) -> np.ndarray:
+        return self.codes.astype(np.float32) * self.scales[:, :1]
+
+    def row(self) -> tuple[int, bytes, bytes, bytes]:
+        return len(self.ids), self.ids.tobytes(), self.codes.tobytes(), self.scales.tobytes()
+
+
+def _packed(pack: Pack, row: np.ndarray, leaf: np.ndarray, own: np.ndarray, name) -> Iterator[tuple]:
+    """Packed rows per leaf: stage 0 for members (which ask as well), stage 1 for queries from other leaves."""
+    order = np.lexsort((~own, leaf))
+    row, leaf, own = row[order], leaf[order], own[order]
+    cuts = np.flatnonzero((leaf[1:] != leaf[:-1]) | (own[1:] != own[:-1])) + 1
+    for part in np.split(np.arange(len(row)), cuts):
+        if len(part):
+            yield name(leaf[part[0]]), int(not own[part[0]]), *pack.take(row[part]).row()
+
+
+_COLUMNS = ["leaf", "stage", "n", "ids", "codes", "scales"]
+
+
+def _split_crowded(routed: DataFrame, sizes: DataFrame, leaf_rows: int, leaf_sample: int, extra: int, seed: int) -> DataFrame:
+    """The rows of over-full leaves sent to the leaves of a tree of their own.
+
+    Each over-full leaf is fitted on about ``leaf_sample`` of its members (bounded); its rows then meet its tree by leaf and
+    salt in sorted streams, the tree first, so no task holds the leaf. Members go to one new leaf, queries also to the
+    ``extra`` next ones.
+    """
+    crowded = routed.join(sizes, "leaf")
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                pack = Pack.read(r.ids, r.codes, r.scales)
+                rng = np.random.default_rng((seed, int(pack.ids[0]) & 0x7FFFFFFF))
+                keep = np.flatnonzero(rng.random(r.n) < leaf_sample / r.members)
+                if len(keep):
+                    rows.append((r.leaf, r.members, pack.vectors()[keep].tobytes(), pack.codes.shape[1]))
+            yield pd.DataFrame(rows, columns=["leaf", "members", "x", "d"])
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(group["x"]), dtype=np.float32).reshape(-1, int(group["d"].iloc[0]))[: 2 * leaf_sample]
+        tree = fit_forest(x, 1, max(2, int(round(group["members"].iloc[0] / leaf_rows))), seed)
+        return pd.DataFrame({"leaf": [group["leaf"].iloc[0]], "tree": [pickle.dumps(tree)]})
+
+    trees = crowded.where("stage = 0").mapInPandas(pick, "leaf string, members long, x binary, d int").groupBy("leaf").applyInPandas(fit, "leaf string, tree binary")
+    salts = F.least(F.ceil(F.col("members") / (16 * leaf_sample)), F.lit(1024)).cast("int")
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("ids", "codes", "scales")]
+    first = trees.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(-1).alias("stage"), F.lit(0).alias("n"), *nothing, "tree")
+    rest = crowded.select("leaf", F.pmod(F.xxhash64("ids"), salts).cast("int").alias("salt"), "stage", "n", "ids", "codes", "scales", F.lit(None).cast("binary").alias("tree"))
+
+    def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = None
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                if r.stage < 0:
+                    tree = pickle.loads(r.tree)
+                    continue
+                pack = Pack.read(r.ids, r.codes, r.scales)
+                row, leaf, own = tree.probe(pack.vectors(), extra)
+                rows += _packed(pack, row, leaf, own & (r.stage == 0), lambda k, at=r.leaf: f"{at}.{k}")
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    streams = first.unionByName(rest).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "stage")
+    return streams.mapInPandas(descend, _PACKED)
+
+
+def _candidates(routed: DataFrame, sizes: DataFrame, least: float, k: int, most_in_block: int) -> DataFrame:
+    """``(a, b)``: pairs that may reach ``least`` and be among the ``k`` best of one side, from the codes alone.
+
+    The codes give each similarity within a known error, so nothing that could count is left out. Members of a leaf are
+    loaded in blocks of about ``most_in_block``; queries stream past them, whatever their number.
+    """
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                n = int(-(-r.members // most_in_block))
+                if n == 1:
+                    rows.append((r.leaf, 0, r.stage, r.n, r.ids, r.codes, r.scales))
+                    continue
+                pack = Pack.read(r.ids, r.codes, r.scales)
+                block = pack.ids % n
+                for b in range(n):
+                    for stage, part in ((0, block == b), (1, block != b)) if r.stage == 0 else ((1, block >= 0),):
+                        if part.any():
+                            rows.append((r.leaf, b, stage, *pack.take(np.flatnonzero(part)).row()))
+            yield pd.DataFrame(rows, columns=["leaf", "block", *_COLUMNS[1:]])
+
+    def compare(asking: Pack, inside: Pack) -> list[np.ndarray]:
+        x, xe = inside.vectors(), inside.scales[:, 1]
+        found = []
+        for at in range(0, len(asking.ids), 1024):
+            part = asking.take(np.arange(at, min(at + 1024, len(asking.ids))))
+            near = part.vectors() @ x.T
+            slack = part.scales[:, 1:] + (1 + part.scales[:, 1:]) * xe + 1e-5
+            i, j = np.nonzero(near + slack >= least)
+            other = part.ids[i] != inside.ids[j]
+            i, j = i[other], j[other]
+            if not len(i):
+                continue
+            low, high = near[i, j] - slack[i, j], near[i, j] + slack[i, j]
+            # no more than those that may be among the k best of this block can be among the k best of all
+            order = np.lexsort((-low, i))
+            place = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+            bar = np.full(len(part.ids), -2.0, dtype=np.float32)
+            kth = order[place == k - 1]
+            bar[i[kth]] = low[kth]
+            keep = high >= bar[i]
+            found.append(np.column_stack([part.ids[i[keep]], inside.ids[j[keep]]]))
+        return found
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, members, inside = None, [], None
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for r in batch.itertuples(index=False):
+                if (r.leaf, r.block) != here:
+                    if members and inside is None:
+                        whole = Pack.join(members)
+                        found += compare(whole, whole)
+                    here, members, inside = (r.leaf, r.block), [], None
+                pack = Pack.read(r.ids, r.codes, r.scales)
+                if r.stage == 0:
+                    members.append(pack)
+                    continue
+                if inside is None and members:
+                    inside = Pack.join(members)
+                    found += compare(inside, inside)
+                if inside is not None:
+                    found += compare(pack, inside)
+            yield _pairs(found)
+        if members and inside is None:
+            whole = Pack.join(members)
+            yield _pairs(compare(whole, whole))
+
+    dealt = routed.join(sizes, "leaf").mapInPandas(deal, "leaf string, block int, stage int, n int, ids binary, codes binary, scales binary")
+    streams = dealt.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "stage")
+    return streams.mapInPandas(meet, "a long, b long").distinct()
+
+
+def _pairs(found: list[np.ndarray]) -> pd.DataFrame:
+    both = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+    both = np.unique(np.sort(both, axis=1), axis=0) if len(both) else both
+    return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+
 def nearest(
-    vectors: DataFrame, k: int = 10, least: float = 0.9, dimension: int = 64, trees: int = 4, extra: int = 6, leaf_rows: int = 256, sample_rows: int = 20_000, most_in_block: int = 4096, seed: int = 7
+    vectors: DataFrame,
+    k: int = 10,
+    least: float = 0.9,
+    dimension: int = 64,
+    trees: int = 4,
+    extra: int = 5,
+    leaf_rows: int = 256,
+    sample_rows: int = 20_000,
+    most_in_block: int = 4096,
+    crowded_rows: int = 4096,
+    leaf_sample: int = 4096,
+    seed: int = 7,
 ) -> DataFrame:
     """``(vec_id, other_id, similarity)``: for every vector up to ``k`` most similar others of at least ``least``.
 
     ``vectors`` has vec_id and embedding. The forest is fitted on at most ``sample_rows`` vectors (those with the
-    smallest hashes; the only bounded step) so that a leaf holds about ``leaf_rows`` of all rows. Every vector goes
-    to its own leaf in each tree, and as a query also to the ``extra`` next leaves of the queue shared by the trees;
-    a leaf compares its queries with its members exactly. Exact copies of a vector stand for each other in the
-    index (one row each) and are joined back in the end, so that a hot vector never fills a leaf; a leaf that is
-    still larger than ``most_in_block`` is compared in blocks against blocks, without loss.
+    smallest hashes) so that a leaf holds about ``leaf_rows`` of all rows; leaves that still hold more than
+    ``crowded_rows`` are fitted anew, each on about ``leaf_sample`` of its own members, as often as needed, so leaves grow
+    in number with the rows. These samples are the only bounded steps. Every vector goes to its own leaf in each tree,
+    and as a query also to the ``extra`` next leaves of the queue shared by the trees. Leaves compare int8 codes first; pairs
+    that the error of the codes does not rule out are then ranked by the exact vectors. Exact copies of a vector stand
+    for each other in the index (one row each) and are joined back in the end, so that a hot vector never fills a leaf;
+    leaves of more than ``most_in_block`` members are compared in blocks of members, without loss.
 
     Similarities are computed in double precision from the unit vectors, so a pair at the threshold counts. Ties at
     place k go to the smaller vec_id. Copies of one vector are each other's nearest, with similarity 1. An empty
@@ -161,78 +358,54 @@ def nearest(
     # equal vectors meet by their value; the partial aggregate folds copies before the shuffle
     reps = cut(units.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n_copies")))
     n_rows = reps.count()
-    out = "vec_id long, other_id long, similarity double"
     if n_rows < 1:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], "vec_id long, other_id long, similarity double")
     picked = reps.select("v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(sample_rows).select("v").toPandas()
-    leaves = max(1, int(round(n_rows / leaf_rows)))
-    forest = fit_forest(_matrix(picked["v"], dimension), trees, leaves, seed)
-    shared = spark.sparkContext.broadcast(forest)
-
-    def own_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = shared.value
-        for batch in batches:
-            _, leaf, _ = f.probe(_matrix(batch["v"], dimension), 0)
-            number, m = np.unique(leaf, return_counts=True)
-            yield pd.DataFrame({"leaf": number, "m": m})
+    leaves = max(1, min(int(round(n_rows / leaf_rows)), len(picked) // 4))
+    shared = spark.sparkContext.broadcast(fit_forest(_matrix(picked["v"], dimension), trees, leaves, seed))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = shared.value
+        forest = shared.value
         for batch in batches:
+            x = _matrix(batch["v"], dimension)
+            pack = Pack(batch["rep"].to_numpy(), *quantised(x))
+            steps = []
             for a in range(0, len(batch), 2000):
-                part = batch.iloc[a : a + 2000]
-                x = _matrix(part["v"], dimension)
-                row, leaf, own = f.probe(x, extra)
-                yield pd.DataFrame({"leaf": leaf, "id": part["rep"].to_numpy()[row], "own": own, "v": part["v"].to_numpy()[row]})
-
-    routed = spread(reps.select("rep", "v")).mapInPandas(route, "leaf long, id long, own boolean, v binary")
-    # members of a leaf are dealt into blocks; queries meet every block of the leaf
-    members = spread(reps.select("v")).mapInPandas(own_leaves, "leaf long, m long").groupBy("leaf").agg(F.sum("m").alias("m"))
-    blocks = {r["leaf"]: -(-r["m"] // most_in_block) for r in members.where(F.col("m") > most_in_block).collect()}
-    crowded = spark.sparkContext.broadcast(blocks)
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        many = crowded.value
+                row, leaf, own = forest.probe(x[a : a + 2000], extra)
+                steps.append((row + a, leaf, own))
+            if steps:
+                yield pd.DataFrame(list(_packed(pack, *(np.concatenate(c) for c in zip(*steps)), str)), columns=_COLUMNS)
+
+    routed = cut(spread(reps.select("rep", "v")).mapInPandas(route, _PACKED))
+    done, sizes = [], None
+    while True:
+        sizes = routed.where("stage = 0").groupBy("leaf").agg(F.sum("n").alias("members"))
+        if sizes.where(F.col("members") > crowded_rows).isEmpty():
+            break
+        over = sizes.where(F.col("members") > crowded_rows)
+        largest = sizes.agg(F.max("members")).first()[0]
+        split = cut(_split_crowded(routed, over, leaf_rows, leaf_sample, 2, seed))
+        done.append(routed.join(over.select("leaf"), "leaf", "left_anti"))
+        routed, before = split, largest
+        if split.where("stage = 0").groupBy("leaf").agg(F.sum("n").alias("m")).agg(F.max("m")).first()[0] > 0.9 * before:
+            break  # vectors that no plane parts: compared in blocks
+    for part in done:
+        routed = routed.unionByName(part)
+    sizes = routed.where("stage = 0").groupBy("leaf").agg(F.sum("n").alias("members"))
+    pairs = _candidates(routed, sizes, least, k, most_in_block)
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n = batch["leaf"].map(many).fillna(1).astype("int64")
-            mine = batch["id"] % n
-            parts = []
-            for b in range(int(n.max())):
-                part = batch[n > b]
-                hold = part["own"] & (mine[n > b] == b)
-                parts.append(part.assign(block=b, own=hold))
-            yield pd.concat(parts)
-
-    dealt = routed.mapInPandas(deal, "leaf long, id long, own boolean, v binary, block long") if blocks else routed.withColumn("block", F.lit(0))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        inside = group[group["own"].to_numpy()]
-        asked = group["id"].to_numpy()
-        ids = inside["id"].to_numpy()
-        x = _matrix(inside["v"], dimension)
-        found = []
-        for a in range(0, len(group), 1024):
-            q = _matrix(group["v"].iloc[a : a + 1024], dimension)
-            if not len(x):
-                break
-            near = q @ x.T
-            i, j = np.nonzero(near >= least - 1e-4)
-            i_id, j_id = asked[a + i], ids[j]
-            other = i_id != j_id
-            i, j, i_id, j_id = i[other], j[other], i_id[other], j_id[other]
-            if not len(i):
-                continue
-            exact = np.einsum("ij,ij->i", q[i].astype(np.float64), x[j].astype(np.float64))
-            exact /= np.linalg.norm(q[i].astype(np.float64), axis=1) * np.linalg.norm(x[j].astype(np.float64), axis=1)
-            part = pd.DataFrame({"id": i_id, "other": j_id, "similarity": exact})
-            part = part[part["similarity"] >= least - 1e-9]
-            # map-side: no more than the k best of this block can be among the k best of all
-            part = part.sort_values(["id", "similarity", "other"], ascending=[True, False, True]).groupby("id").head(k)
-            found.append(part)
-        return pd.concat(found) if found else pd.DataFrame({"id": [], "other": [], "similarity": []}).astype({"id": "int64", "other": "int64", "similarity": "float64"})
-
-    near = dealt.groupBy("leaf", "block").applyInPandas(compare, "id long, other long, similarity double")
-    near = near.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+            x, y = (_matrix(batch[c], dimension).astype(np.float64) for c in ("va", "vb"))
+            exact = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+            hold = exact >= least - 1e-9
+            yield pd.DataFrame({"a": batch["a"].to_numpy()[hold], "b": batch["b"].to_numpy()[hold], "similarity": exact[hold]})
+
+    by_id = reps.select("rep", "v")
+    with_a = pairs.join(by_id.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a")
+    ranked = with_a.join(by_id.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b").mapInPandas(rank, "a long, b long, similarity double")
+    near = ranked.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("p"), "similarity")
+    near = near.select("p.id", "p.other", "similarity")
     best = near.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where(F.col("place") <= k)
     # copies: every copy asks like its representative, and every copy of a neighbour is one
     several = reps.where("n_copies > 1")
@@ -258,7 +431,7 @@ def similar_pairs(neighbours: DataFrame) -> DataFrame:
     return neighbours.select(a.alias("vec_id_a"), b.alias("vec_id_b")).distinct()
 
 
-def recall(vectors: DataFrame, neighbours: DataFrame, every: int = 20, least: float = 0.9, k: int = 10, dimension: int = 64, block_rows: int = 2048) -> DataFrame:
+def recall(vectors: DataFrame, neighbours: DataFrame, every: int = 20, least: float = 0.9, k: int = 10, dimension: int = 64, block_rows: int = 32_768) -> DataFrame:
     """``(n_queries, n_true, n_found, recall)`` against brute force for the vectors whose id is divisible by ``every``.
 
     The queries meet all vectors in blocks: the query set is dealt into blocks of at most ``block_rows`` rows, each
@@ -281,10 +454,11 @@ def recall(vectors: DataFrame, neighbours: DataFrame, every: int = 20, least: fl
             for batch in batches:
                 x = _matrix(batch["v"], dimension).astype(np.float64)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                near = q @ x.T
-                i, j = np.nonzero(near >= least - 1e-9)
-                out = pd.DataFrame({"vec_id": ids[i], "other_id": batch["vec_id"].to_numpy()[j], "similarity": near[i, j]})
-                yield out[out["vec_id"] != out["other_id"]]
+                for a in range(0, len(q), 1024):
+                    near = q[a : a + 1024] @ x.T
+                    i, j = np.nonzero(near >= least - 1e-9)
+                    out = pd.DataFrame({"vec_id": ids[a + i], "other_id": batch["vec_id"].to_numpy()[j], "similarity": near[i, j]})
+                    yield out[out["vec_id"] != out["other_id"]]
 
         part = units.mapInPandas(scan, "vec_id long, other_id long, similarity double")
         found = part if found is None else found.unionByName(part)

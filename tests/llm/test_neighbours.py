@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from permeate.llm.neighbours import fit_forest, nearest, recall, similar_pairs
+from permeate.llm.neighbours import fit_forest, nearest, quantised, recall, similar_pairs
 
 
 def brute(x, ids, k=10, least=0.9):
@@ -60,6 +60,35 @@ def test_blocks_lose_nothing(spark):
     assert a == b
 
 
+def test_crowded_leaves_get_trees_of_their_own(spark):
+    x = data(3000, groups=300, seed=3)
+    df = frame(spark, x)
+    # the sample gives no more than two leaves a tree, so every leaf is crowded and split, some of them twice
+    near = nearest(df, dimension=16, leaf_rows=40, sample_rows=8, crowded_rows=120, leaf_sample=100)
+    assert recall(df, near, every=5, dimension=16).first().recall >= 0.9
+    want = brute(x.astype(np.float64), list(range(len(x))))
+    got = {tuple(r) for r in similar_pairs(near).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_similarities_are_exact(spark):
+    x = data(400, groups=10)
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    for r in nearest(frame(spark, x), dimension=16, leaf_rows=50).collect():
+        assert abs(r.similarity - y[r.vec_id] @ y[r.other_id]) < 1e-6
+
+
+def test_codes_miss_no_pair():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((200, 64))
+    x = np.vstack([x, x + 0.35 * rng.standard_normal((200, 64))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes, scales = quantised(x)
+    approximate = (codes * scales[:, :1]) @ (codes * scales[:, :1]).T
+    slack = scales[:, 1:] + (1 + scales[:, 1:]) * scales[:, 1]
+    assert (np.abs(approximate - x @ x.T) <= slack + 1e-5).all()
+
+
 def test_empty(spark):
     assert similar_pairs(nearest(frame(spark, np.zeros((0, 16))), dimension=16)).count() == 0
     assert similar_pairs(nearest(frame(spark, np.ones((1, 16))), dimension=16)).count() == 0
