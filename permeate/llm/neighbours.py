@@ -313,7 +313,10 @@ def _candidates(routed: DataFrame, sizes: DataFrame, least: float, k: int, most_
             whole = Pack.join(members)
             yield _pairs(compare(whole, whole))
 
-    dealt = routed.join(sizes, "leaf").mapInPandas(deal, "leaf string, block int, stage int, n int, ids binary, codes binary, scales binary")
+    if sizes.where(F.col("members") > most_in_block).isEmpty():  # the usual case: every leaf is one block
+        dealt = routed.withColumn("block", F.lit(0))
+    else:
+        dealt = routed.join(sizes, "leaf").mapInPandas(deal, "leaf string, block int, stage int, n int, ids binary, codes binary, scales binary")
     streams = dealt.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "stage")
     return streams.mapInPandas(meet, "a long, b long").distinct()
 
@@ -411,7 +414,8 @@ def nearest(
     several = reps.where("n_copies > 1")
     if several.isEmpty():
         return best.select(F.col("id").alias("vec_id"), F.col("other").alias("other_id"), "similarity")
-    joined = units.join(several.select("v", "rep"), "v").select("rep", "vec_id")
+    digest = F.md5("v").alias("digest")  # of 256 bytes only the digest travels
+    joined = units.select("vec_id", digest).join(several.select("rep", digest), "digest").select("rep", "vec_id")
     copies = joined.unionByName(reps.where("n_copies = 1").select("rep", F.col("rep").alias("vec_id")))
     links = best.select("id", "other", "similarity").unionByName(several.select(F.col("rep").alias("id"), F.col("rep").alias("other"), F.lit(1.0).alias("similarity")))
     # of each neighbour's copies the k + 1 smallest ids suffice for k places besides the asking vector itself
