@@ -27,7 +27,8 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where the session names none and everything runs on one machine (local tests) a temporary folder is set; on a
+    cluster that is an error, because executors could not read it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="permeate-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -48,6 +51,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept_by_worker(token: str, build):
+    """What ``build`` gives, made once per Python worker for each token and kept for its next tasks (the last four)."""
+    if token not in _KEPT:
+        while len(_KEPT) >= 4:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[token] = build()
+    return _KEPT[token]
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors' Python workers, once per Spark context."""
     context = spark.sparkContext
