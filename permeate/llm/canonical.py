@@ -10,13 +10,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from uuid import uuid4
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permeate.session import cut, kept_by_worker
+
 # Words that say nothing about which substance is meant.
 FILLER = frozenset(
     "a an the of in to and for with used use see paper text analytical grade anhydrous solution solutions stock buffer "
@@ -84,6 +88,44 @@ def allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 6 else 2 if length < 12 else 3
 
 
+class Near:
+    """Words of a table within some edits of a given one.
+
+    An edit changes the counts of at most two letters by one, a swap none: comparing letter counts (one numpy step per
+    length) leaves few words for the edit distance, and loses none.
+    """
+
+    _LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
+
+    def __init__(self, words: list[str]):
+        by: dict[int, list[str]] = {}
+        for w in words:
+            by.setdefault(len(w), []).append(w)
+        self.by = {n: (np.array([self.counts(w) for w in ws]), ws) for n, ws in by.items()}
+
+    def counts(self, word: str) -> np.ndarray:
+        out = np.zeros(len(self._LETTERS) + 1, dtype=np.int16)
+        for c in word:
+            out[self._LETTERS.get(c, -1)] += 1
+        return out
+
+    def within(self, word: str, most: int, tolerance) -> list[tuple[int, str]]:
+        """``(edits, word)`` within ``most`` and within the ``tolerance`` of the found word's length."""
+        mine, out = self.counts(word), []
+        for length in range(len(word) - most, len(word) + most + 1):
+            if length not in self.by:
+                continue
+            limit = min(most, tolerance(length))
+            table, words = self.by[length]
+            apart = table - mine
+            far = np.maximum(np.where(apart > 0, apart, 0).sum(axis=1), np.where(apart < 0, -apart, 0).sum(axis=1))
+            for k in np.flatnonzero(far <= limit):
+                n = edits(word, words[k], limit)
+                if n <= limit:
+                    out.append((n, words[k]))
+        return out
+
+
 class CanonicalList:
     """The list with its automaton; ``match`` gives (ref_id, how, score) of a value with its fields.
 
@@ -121,11 +163,10 @@ class CanonicalList:
                 self.automaton.add_word(form, (len(form), frozenset(refs) | (known[1] if known else frozenset())))
         if len(self.automaton):
             self.automaton.make_automaton()
-        self.by_length: dict[int, list[str]] = {}
-        for w in self.words:
-            self.by_length.setdefault(len(w), []).append(w)
+        self.near_words, self.near_names = Near(list(self.words)), Near(list(self.names))
+        self.rows = {r[0]: r for r in rows}
         self.closest = lru_cache(100_000)(self._closest)
-        self.match = lru_cache(200_000)(self._match)
+        self.field = lru_cache(100_000)(self._field)
 
     def _content(self, words: list[str]) -> list[str]:
         """Words that tell entries apart; all of them if none would be left."""
@@ -177,12 +218,7 @@ class CanonicalList:
         """List words at the least edit distance within the tolerance, with the distance."""
         if word in self.words:
             return ((word, 0),)
-        most, found = allowed(len(word)), []
-        for length in range(len(word) - most, len(word) + most + 1):
-            for other in self.by_length.get(length, ()):
-                far = edits(word, other, min(most, allowed(len(other))))
-                if far <= min(most, allowed(len(other))):
-                    found.append((far, other))
+        found = self.near_words.within(word, allowed(len(word)), allowed)
         if not found:
             return ()
         least = min(found)[0]
@@ -197,15 +233,10 @@ class CanonicalList:
         if not out[0]:
             # words run together, or a blank inside a word
             joined = "".join(words)
-            spans = {}
-            for form, refs in self.names.items():
-                most = allowed(len(form))
-                far = edits(joined, form, most)
-                if far <= most:
-                    spans.setdefault(far, set()).update(refs)
+            spans = self.near_names.within(joined, 3, allowed)
             if spans:
-                far = min(spans)
-                return frozenset(spans[far]), 1 - far / max(1, len(joined))
+                far = min(spans)[0]
+                return frozenset().union(*[self.names[form] for n, form in spans if n == far]), 1 - far / max(1, len(joined))
         return out
 
     def _noise(self, w: str) -> bool:
@@ -245,8 +276,8 @@ class CanonicalList:
 
     # ------------------------------------------------------------ a value
 
-    def _match(self, name: str | None, formula: str | None) -> tuple[int, str, float]:
-        a, b = self._field(name), self._field(formula)
+    def match(self, name: str | None, formula: str | None) -> tuple[int, str, float]:
+        a, b = self.field(name), self.field(formula)
         if a[0] and b[0] and (both := a[0] & b[0]):
             if len(both) == 1:
                 return next(iter(both)), a[1], max(a[2], b[2])
@@ -261,46 +292,121 @@ class CanonicalList:
                 return -1, "ambiguous", score
         return -1, "unmatched", 0.0
 
+    # ------------------------------------------------------------ blocks of a longer list
+
+    def relevant(self, name: str | None, formula: str | None) -> set[int]:
+        """Entries of this block that can bear on a value: its formulas, mentions, fully met entries, names near the whole,
+        and for each of its words one witness of every list word it may stand for.
+
+        The entries found in all blocks, taken as a list of their own, match the value as the whole list does.
+        """
+        out: set[int] = set()
+        for text in (name, formula):
+            plain = flat(text)
+            if not plain:
+                continue
+            out |= self.exact_formulas.get(formula_key(text, True), set()) | self.formulas.get(formula_key(text), set())
+            for version in {plain, _AMOUNT.sub("", plain) or plain}:
+                words = tokens(version)
+                squeezed = "".join(words)
+                if len(self.automaton):
+                    for _, (_, refs) in self.automaton.iter(squeezed):
+                        out |= refs
+                for w in set(words):
+                    for known, _ in self.closest(w):
+                        out.add(min(self.words[known]))
+                for kept in (words, self._content(words), [w for w in words if not self._noise(w)], [w for w in self._content(words) if not self._noise(w)]):
+                    if kept:
+                        out |= self._cover(kept)[0]
+                        for _, form in self.near_names.within("".join(kept), 3, allowed):
+                            out |= self.names[form]
+        return out
+
 
 #: An amount at the end of a value.
 _AMOUNT = re.compile(r"[\s,(–-]+(?:approx\.?|ca\.?|about|~|≈)?\s*\d+(?:[.,]\d+)?(?:\s*[x×*]\s*10\s*\^?\s*-?\d+|e[-+]?\d+)?\s*(?:[munpµμ]?m\b|[munpkµμ]?mol\b|[munkµμ]?g\b|[mu µμ]?l\b|molar|millimolar|micromolar|%|percent|vol%|micrograms).*$", re.I)
 #: A mention outranks a formula, which entries may share; both outrank similarity.
 _RANK = {"mention": 0, "formula": 1, "similar": 2, "unknown": 3, "empty": 4, "blank": 5}
 
-_OUT = "row_id long, path string, ref_id long, how string, score double"
+_VERDICT = "name string, formula string, ref_id long, how string, score double"
 
 
 def map_to_list(values: DataFrame, reference: DataFrame, max_list_rows: int = 100_000) -> DataFrame:
     """``(row_id, path, ref_id, how, score)`` for each value whose name or formula is not blank; -1 where none fits.
 
-    ``values`` has row_id, path, name, formula; ``reference`` ref_id, canonical_name, formula, abbreviation. The
-    list must not exceed ``max_list_rows`` (checked): up to there its automaton fits each worker. A longer list is
-    split into blocks of that size by the hash of its id; each value then takes the best hit over the blocks.
-    Nulls, blanks and empty tables give no rows; repeated values count each; extra columns are ignored.
+    ``values`` has row_id, path, name, formula; ``reference`` ref_id, canonical_name, formula, abbreviation. Each distinct
+    value is matched once and its verdict joined back; a hot value is split by AQE. The list is broadcast and its automaton
+    built once per worker while it has at most ``max_list_rows`` rows (checked). A longer list goes in blocks of that
+    size: each block tells the entries that can bear on a value, and the value is then matched against those of all blocks,
+    which gives what the whole list gives. Nulls, blanks and empty tables give no rows; repeated values count each; extra
+    columns are ignored.
     """
     value = values.select(F.col("row_id").cast("long").alias("row_id"), "path", "name", "formula")
     value = value.where(r"coalesce(name, '') rlike '(?U)\\S' or coalesce(formula, '') rlike '(?U)\\S'")
+    distinct = value.select("name", "formula").distinct()
     listed = reference.select("ref_id", "canonical_name", "formula", "abbreviation")
     n_blocks = max(1, -(-listed.count() // max_list_rows))
-    parts = []
-    for k in range(n_blocks):
-        block = listed if n_blocks == 1 else listed.where(F.pmod(F.xxhash64("ref_id"), F.lit(n_blocks)) == k)
-        rows = [tuple(r) for r in block.collect()]
-
-        def work(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            known = CanonicalList(rows)
-            for batch in batches:
-                found = [known.match(_text(n), _text(f)) for n, f in zip(batch["name"], batch["formula"])]
-                yield pd.DataFrame({"row_id": batch["row_id"], "path": batch["path"], "ref_id": [x[0] for x in found], "how": [x[1] for x in found], "score": [x[2] for x in found]})
-
-        parts.append(value.mapInPandas(work, _OUT))
     if n_blocks == 1:
-        return parts[0]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    best = F.max_by(F.struct("ref_id", "how", "score"), F.struct((F.col("ref_id") >= 0).cast("int"), "score", -F.col("ref_id"))).alias("b")
-    return union.groupBy("row_id", "path").agg(best).select("row_id", "path", "b.ref_id", "b.how", "b.score")
+        verdicts = _matched(distinct, listed)
+    else:
+        distinct = cut(distinct)
+        # dealt by the hash, so a block may exceed the limit by what chance gives
+        blocks = [_relevant(distinct, listed.where(F.pmod(F.xxhash64("ref_id"), F.lit(n_blocks)) == k)) for k in range(n_blocks)]
+        verdicts = _matched_each(reduce(DataFrame.unionByName, blocks))
+    same = value["name"].eqNullSafe(verdicts["name"]) & value["formula"].eqNullSafe(verdicts["formula"])
+    return value.join(verdicts, same).select("row_id", "path", "ref_id", "how", "score")
+
+
+def _known(shared) -> CanonicalList:
+    token, rows = shared.value
+    return kept_by_worker(token, lambda: CanonicalList(rows))
+
+
+def _share(listed: DataFrame):
+    rows = [tuple(r) for r in listed.collect()]
+    return listed.sparkSession.sparkContext.broadcast((uuid4().hex, rows))
+
+
+def _matched(distinct: DataFrame, listed: DataFrame) -> DataFrame:
+    shared = _share(listed)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _known(shared)
+        for batch in batches:
+            found = [known.match(_text(n), _text(f)) for n, f in zip(batch["name"], batch["formula"])]
+            yield batch.assign(ref_id=[x[0] for x in found], how=[x[1] for x in found], score=[x[2] for x in found])
+
+    return distinct.mapInPandas(work, _VERDICT)
+
+
+_ENTRY = "struct<ref_id: bigint, canonical_name: string, formula: string, abbreviation: string>"
+
+
+def _relevant(distinct: DataFrame, block: DataFrame) -> DataFrame:
+    shared = _share(block)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _known(shared)
+        for batch in batches:
+            rows = [[dict(zip(("ref_id", "canonical_name", "formula", "abbreviation"), known.rows[r])) for r in sorted(known.relevant(_text(n), _text(f)))] for n, f in zip(batch["name"], batch["formula"])]
+            yield batch.assign(entries=rows)
+
+    return distinct.mapInPandas(work, f"name string, formula string, entries array<{_ENTRY}>")
+
+
+def _matched_each(found: DataFrame) -> DataFrame:
+    """Verdict of each value against its own entries, those of all blocks together."""
+    together = found.groupBy("name", "formula").agg(F.flatten(F.collect_list("entries")).alias("entries"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            verdicts = []
+            for n, f, entries in zip(batch["name"], batch["formula"], batch["entries"]):
+                rows = [(e["ref_id"], e["canonical_name"], e["formula"], e["abbreviation"]) for e in entries]
+                verdicts.append(CanonicalList(sorted(rows, key=lambda r: r[0])).match(_text(n), _text(f)))
+            yield pd.DataFrame({"name": batch["name"], "formula": batch["formula"], "ref_id": [x[0] for x in verdicts], "how": [x[1] for x in verdicts], "score": [x[2] for x in verdicts]})
+
+    return together.mapInPandas(work, _VERDICT)
 
 
 def _text(x: object) -> str | None:

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from permeate.llm.canonical import CanonicalList, edits, map_to_list
+from permeate.llm.canonical import CanonicalList, Near, edits, map_to_list
 
 LIST = [
     (1, "sodium chloride", "NaCl", None),
@@ -58,8 +58,8 @@ def test_table(spark):
     ref = spark.createDataFrame(LIST, "ref_id long, canonical_name string, formula string, abbreviation string")
     want = [(1, 1), (1, 1), (3, 2), (4, -1)]
     assert sorted((r.row_id, r.ref_id) for r in map_to_list(values, ref).collect()) == want
-    blocks = sorted({(r.row_id, r.ref_id) for r in map_to_list(values, ref, max_list_rows=5).collect()})
-    assert blocks == sorted(set(want))
+    blocks = sorted((r.row_id, r.ref_id) for r in map_to_list(values, ref, max_list_rows=5).collect())
+    assert blocks == want
     assert map_to_list(values.limit(0), ref).count() == 0
     assert {r.ref_id for r in map_to_list(values, ref.limit(0)).collect()} == {-1}
 
@@ -76,3 +76,40 @@ def test_edits_against_recursion(a, b):
         return out
 
     assert edits(a, b, 9) == far(a, b)
+
+
+WORDS = sorted({w for _, name, _, _ in LIST for w in name.replace("-", " ").split()} | {"sdium", "chlorde", "2", "5", "mM", "buffer", "lithium", "ethanol", "NaCl", "DMSO", "Gly"})
+
+
+@given(st.lists(st.sampled_from(WORDS), min_size=1, max_size=4), st.sampled_from(["", " ", ", ", "-"]), st.sampled_from([None, "NaCl", "C12H22O11", "n/a"]), st.integers(1, 5))
+@settings(max_examples=300, deadline=None)
+def test_blocks_match_as_the_whole_list(words, glue, formula, n):
+    name = glue.join(words)
+    parts = [CanonicalList(LIST[k::n]) for k in range(n)]
+    rows = sorted({r for p in parts for r in map(p.rows.get, p.relevant(name, formula))})
+    assert CanonicalList(rows).match(name, formula) == CanonicalList(LIST).match(name, formula)
+
+
+def test_near_words_are_those_of_the_edit_distance():
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    near = Near(words)
+    for w in words[:60]:
+        got = {x for _, x in near.within(w, 2, lambda n: 2)}
+        assert got == {x for x in words if edits(w, x, 2) <= 2}
+
+
+def test_long_lists(spark):
+    """A list of 100,000 names: one look at a misspelled value is cheap, and blocks tell the same."""
+    import time
+
+    letters = "abcdefghijklmnopqrst"
+    made = [(i, "".join(letters[(i // 20**k + 7 * k) % 20] for k in range(6)) + " acid", None, None) for i in range(100_000)]
+    known = CanonicalList(made)
+    began = time.perf_counter()
+    for ref, name, _, _ in made[:: len(made) // 50]:
+        assert known.match(name.upper(), None)[0] == ref
+        known.match(name[1] + name[0] + name[2:], None)
+    assert (time.perf_counter() - began) / 100 < 0.1
