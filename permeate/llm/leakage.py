@@ -1,6 +1,6 @@
 """Evaluation passages that stand in corpus documents (problem 8).
 
-Method: one Aho-Corasick automaton over the normalised test texts (runs of a few words, squeezed to letters and
+Method: one Aho-Corasick automaton over the normalised passages, questions and answers of the test items (runs of a few words, squeezed to letters and
 digits) scans each document once; every hit is extended word by word in both directions, and offsets are mapped
 back to the original text.
 
@@ -15,12 +15,16 @@ import html
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
+from uuid import uuid4
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permeate.session import kept_by_worker
+
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|&(?:[A-Za-z]+|#\d+);")
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _GAP = re.compile(r"\s|<|&nbsp;|&#160;")
@@ -49,21 +53,37 @@ def passage_words(text: str) -> list[str]:
     return [w for w in (squeeze(x) for x in text.split()) if w]
 
 
+#: Parts of a test item. Of a passage ``least_words`` words in a row count, of a question or an answer all of them.
+PARTS = ("passage", "question", "answer")
+
+
 class PassageIndex:
-    """Automaton over runs of ``seed`` words of each test passage; ``rows`` are (item_id, text)."""
+    """Automaton over runs of ``seed`` words of each test text; ``rows`` are (item_id, text) or (item_id, text, part).
 
-    def __init__(self, rows: list[tuple[int, str]], least_words: int = 25, change_every: int = 8, seed: int = 5):
-        self.least, self.every = least_words, change_every
+    Questions and answers of fewer than ``seed`` words are not looked for: they say nothing by themselves.
+    """
+
+    def __init__(self, rows: list[tuple], least_words: int = 25, change_every: int = 8, seed: int = 5):
+        self.every = change_every
         self.words: list[list[str]] = []
         self.items: list[int] = []
+        self.parts: list[str] = []
+        self.least: list[int] = []
         self.automaton = ahocorasick.Automaton()
         seeds: dict[str, list[tuple[int, int]]] = {}
-        for item, text in rows:
+        for item, text, *part in rows:
             words = passage_words(text or "")
-            if len(words) < least_words:
+            least = least_words if part in ([], ["passage"]) else max(seed, len(words))
+            if len(words) < least:
                 continue
-            for j in range(len(words) - seed + 1):
-                seeds.setdefault("".join(words[j : j + seed]), []).append((len(self.words), j))
+            whole = least == len(words)
+            self.least.append(least)
+            self.parts.append(part[0] if part else "passage")
+            # where all words count, one of (changes + 1) pieces is unchanged; else any run of seed words may be
+            pieces = len(words) // change_every + 1
+            cuts = [len(words) * k // pieces for k in range(pieces + 1)]
+            for a, b in zip(cuts, cuts[1:]) if whole else ((j, j + seed) for j in range(len(words) - seed + 1)):
+                seeds.setdefault("".join(words[a:b]), []).append((len(self.words), a))
             self.words.append(words)
             self.items.append(item)
         self.seed = seed
@@ -116,7 +136,11 @@ class PassageIndex:
         return best
 
     def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
-        """``(item_id, words, changed, start, end)`` per leaked item, with offsets in the original text."""
+        """``(item_id, words, changed, start, end)`` per leaked text, with offsets in the original text."""
+        return [hit[:1] + hit[2:] for hit in self.find_parts(text)]
+
+    def find_parts(self, text: str) -> list[tuple[int, str, int, int, int, int]]:
+        """The same with the part of the item: ``(item_id, part, words, changed, start, end)``."""
         if not len(self.automaton):
             return []
         doc = squeeze(text)
@@ -124,6 +148,11 @@ class PassageIndex:
         for end, (length, places) in self.automaton.iter(doc):
             for which, j in places:
                 seeds.setdefault(which, []).append((end + 1 - length, j))
+        # unchanged words stand in the document, wherever; a cheap look before the alignment
+        for which in [*seeds]:
+            need = self.least[which] - self.least[which] // self.every
+            if sum(w in doc for w in self.words[which]) < need:
+                del seeds[which]
         if not seeds:
             return []
         where, rev = offsets(text), doc[::-1]
@@ -146,38 +175,44 @@ class PassageIndex:
                 got = self._best(left, right)
                 if (got[0], -got[1]) > (best[0], -best[1]):
                     best = got
-            if best[0] >= self.least:
-                out.append((self.items[which], best[0], best[1], len(doc) - best[2], best[3]))
-        return sorted((i, w, c, where[a], where[b - 1] + 1) for i, w, c, a, b in out)
+            if best[0] >= self.least[which]:
+                out.append((self.items[which], self.parts[which], best[0], best[1], len(doc) - best[2], best[3]))
+        return sorted((i, p, w, c, where[a], where[b - 1] + 1) for i, p, w, c, a, b in out)
 
 
-_OUT = "doc_id long, item_id long, words int, changed int, start int, stop int"
+_OUT = "doc_id long, item_id long, part string, words int, changed int, start int, stop int"
+
+
+def item_texts(items: DataFrame) -> DataFrame:
+    """``(item_id, text, part)`` of test items with passage, question and answer."""
+    return items.select("item_id", F.explode(F.array(*[F.struct(F.col(p).alias("text"), F.lit(p).alias("part")) for p in PARTS])).alias("t")).select("item_id", "t.text", "t.part")
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, least_words: int = 25, change_every: int = 8, max_items: int = 100_000) -> DataFrame:
-    """``(doc_id, item_id, words, changed, start, stop)``: a document holds that many words of the item's passage.
+    """``(doc_id, item_id, part, words, changed, start, stop)``: a document holds that many words of the item's text.
 
-    ``items`` has item_id and text. The automaton is built on each worker from at most ``max_items`` passages
-    (checked by a count); more items are scanned in blocks of that size, one after the other. Null texts and
-    passages give nothing, passages below ``least_words`` words cannot leak, repeated documents count each, whole
-    texts are scanned, empty tables give an empty result. No shuffle.
+    ``items`` has item_id, text and, if not all are passages, part (see `item_texts`). The texts are broadcast and the
+    automaton is built once per worker from at most ``max_items`` of them (checked by a count); more are scanned in blocks
+    of that size, one after the other. Of a passage ``least_words`` words in a row are a leak, of a question or an
+    answer all words, each with one change in ``change_every``. Null texts give nothing, repeated documents count each,
+    whole texts are scanned, empty tables give an empty result. No shuffle.
     """
-    listed = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null")
+    part = F.col("part") if "part" in items.columns else F.lit("passage")
+    listed = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"), part.alias("part")).where("text is not null")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("text is not null")
     n_blocks = max(1, -(-listed.count() // max_items))
-    parts = []
-    for k in range(n_blocks):
-        block = listed if n_blocks == 1 else listed.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)
-        rows = [(r[0], r[1]) for r in block.collect()]
 
-        def work(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            index = PassageIndex(rows, least_words, change_every)
+    def scan(block: DataFrame) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast((uuid4().hex, sorted((tuple(r) for r in block.collect()), key=str)))
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            token, rows = shared.value
+            index = kept_by_worker(token, lambda: PassageIndex(rows, least_words, change_every))
             for batch in batches:
-                out = [(i, *hit) for i, text in zip(batch["doc_id"], batch["text"]) for hit in index.find(text)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "changed", "start", "stop"])
+                out = [(i, *hit) for i, text in zip(batch["doc_id"], batch["text"]) for hit in index.find_parts(text)]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "part", "words", "changed", "start", "stop"])
 
-        parts.append(docs.mapInPandas(work, _OUT))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return docs.mapInPandas(work, _OUT)
+
+    blocks = [listed] if n_blocks == 1 else [listed.where(F.pmod(F.xxhash64("item_id", "part"), F.lit(n_blocks)) == k) for k in range(n_blocks)]
+    return reduce(DataFrame.unionByName, [scan(b) for b in blocks])

@@ -59,18 +59,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Leaked passages with their length, changed words and place in the document."""
-    items = table(spark, d, "eval_items").select("item_id", F.col("passage").alias("text"))
-    return leakage.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), items)
+    """Leaked passages, questions and answers with their length, changed words and place in the document."""
+    return leakage.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), leakage.item_texts(table(spark, d, "eval_items")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_leaks(spark, d).select("doc_id", "item_id")
+    return p8_leaks(spark, d).where("part = 'passage'").select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
-    """Leaked test items with the number of documents that hold them."""
-    return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    """Leaked test items with the number of documents that hold their passage, question or answer."""
+    return p8_leaks(spark, d).groupBy("item_id", "part").agg(F.count("*").alias("n_documents"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

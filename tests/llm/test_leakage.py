@@ -2,7 +2,7 @@
 
 import random
 
-from permeate.llm.leakage import PassageIndex, find_leaks, offsets, squeeze
+from permeate.llm.leakage import PassageIndex, find_leaks, item_texts, offsets, squeeze
 
 WORDS = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x{i}" for i in range(70)]
 PASSAGE = " ".join(WORDS[:60]) + "."
@@ -95,3 +95,24 @@ def test_too_many_changes_are_no_case():
         want = any((b - a) >= 25 and flags[a:b].count(False) * 8 <= b - a for a in range(60) for b in range(a + 25, 61))
         words = [w if ok else f"other{k}" for k, (w, ok) in enumerate(zip(WORDS[4 : 4 + n], kept))]
         assert bool(items("lead " + " ".join(words) + " tail")) == want
+
+
+def test_questions_and_answers_count_in_whole():
+    question, answer = "At which pH was the scaffold protein of Galkin kept before freezing?", "It was kept at pH seven in the apo form of the third helix, as seen in mutants."
+    index = PassageIndex([(1, question, "question"), (1, answer, "answer"), (1, "no", "answer"), (2, PASSAGE, "passage")])
+    parts = lambda text: [(h[0], h[1]) for h in index.find_parts(text)]
+    assert parts("Lead. " + question.upper() + " Tail.") == [(1, "question")]
+    assert parts("Lead. " + question.replace("scaffold", "other") + " Tail.") == [(1, "question")]
+    assert parts("Lead. " + " ".join(question.split()[:9]) + " Tail.") == []
+    assert parts(f"{answer.replace('third', 'fourth')} {PASSAGE} no") == [(1, "answer"), (2, "passage")]
+    rng = random.Random(3)
+    words = answer.split()
+    for _ in range(100):  # one change in eight, anywhere
+        changed = set(rng.sample(range(len(words)), len(words) // 8))
+        assert parts("lead " + " ".join(f"other{k}" if k in changed else w for k, w in enumerate(words)) + " tail") == [(1, "answer")]
+
+
+def test_parts_in_a_table(spark):
+    docs = spark.createDataFrame([(1, "a " + PASSAGE), (2, "the whole question of seven words stands here")], "doc_id long, text string")
+    evals = spark.createDataFrame([(7, PASSAGE, "the whole question of seven words stands", None)], "item_id long, passage string, question string, answer string")
+    assert sorted((r.doc_id, r.item_id, r.part) for r in find_leaks(docs, item_texts(evals)).collect()) == [(1, 7, "passage"), (2, 7, "question")]
