@@ -22,7 +22,7 @@ DEFECTS = ("empty", "refusal", "copy", "other_language", "truncated")
 
 # Function words of each language.
 FUNCTION_WORDS = {
-    "en": "the of and to in is was were are with for that this from at by on it as an or not which be has have had no near once where when under does did do what how why could but into than its both we you i there any yes cannot",
+    "en": "the of and to in is was were are with for that this from at by on it as an or not which be has have had no near once where when under does did do what how why could but into than its both we you i there any yes cannot after before while during through along across against under",
     "de": "der die das und ist nicht ein eine einen einem einer des dem den mit für von zu zur zum im bei auf nach wurde wird werden sind hat aus zwischen keine kein sich als auch oder wie welche welcher wir ich sie es etwas dieser diese dieses über wegen ohne",
     "fr": "le la les des du de un une et est ne pas que qui dans pour par sur avec au aux se sans à ce cette ces nous vous je il elle sont été puis plus chez quel quelle quels quelles comment en d l a son sa ses leur leurs",
     "es": "el la los las de del un una y es no que en por para con se su al lo sin más está este esta esto como cuál qué cómo entre sobre hay después nos fue son algo ha",
@@ -152,11 +152,38 @@ def is_empty(response: str | None) -> bool:
     return not any(c.isalnum() for c in text)
 
 
-def is_refusal(response: str) -> bool:
-    """Declines to answer, in at most four sentences; a long answer that says it somewhere is no refusal."""
+def sentences(text: str) -> list[str]:
+    return [x for x in re.split(r"(?<=[.!?。！？])\s+|\n+", text.strip()) if x.strip()]
+
+
+def _content(text: str) -> set[str]:
+    """Words that carry content: no function words, nothing shorter than four letters, numbers."""
+    return {w for w in words(text) if (len(w) > 3 and w not in _WEIGHT) or w.isdigit()}
+
+
+def is_refusal(response: str, prompt: str | None = None) -> bool:
+    """Declines to answer, at any length: a sentence refuses and none beside it answers.
+
+    A sentence answers if most of its content words stand in the context of the prompt but not in its question, or, without
+    a context, if it carries numbers; apologies, reasons and advice do not. So a refusal in many words counts, and an answer
+    that says somewhere that something cannot be provided does not.
+    """
     text = straight(response)
-    found = REFUSAL.search(text)
-    return bool(found) and len(words(text)) <= 60
+    if not REFUSAL.search(text):
+        return False
+    parts = sentences(text)
+    beside = [x for x in parts if not REFUSAL.search(x)]
+    if len(beside) == len(parts):  # the phrase runs over a border
+        return True
+    asked = _content(question_of(prompt)) if prompt else set()
+    given = _content(prompt) - asked if prompt else set()
+    for x in beside:
+        own = _content(x) - asked
+        if given and len(own) >= 3 and len(own & given) >= 0.6 * len(own):
+            return False
+        if not given and len(own) >= 3 and any(w.isdigit() for w in own):
+            return False
+    return True
 
 
 def is_copy(prompt: str | None, response: str) -> bool:
@@ -265,28 +292,32 @@ def is_truncated(response: str) -> bool:
         return False
     if _END.search(plain) or plain.endswith(("…", "...")):
         return False
-    tail = words(plain)
-    sentence = re.split(r"(?<=[.!?])\s+", plain)[-1]
-    n = len(words(sentence))
-    if n == 0:
-        return False
-    if len(re.split(r"(?<=[.!?])\s+", text)) > 1 and sentence != text:
-        return True
-    if tail[-1] in _FUNCTION:
+    if len(sentences(text)) > 1:
         return True
-    return _clause(tail) if n <= 8 else True
+    return not is_short_answer(plain)
 
 
 _FUNCTION = frozenset(w for w in _WEIGHT if w not in ("yes", "no", "not", "i", "a", "it", "you", "there"))
-# Verbs and openers that begin a full clause in answers of a few words.
-_VERB = re.compile(r"\b(?:starts|ends|shows|lacks|fails?|binds|holds|keeps|kept|grows|falls|verliert|fehlt|zeigt|erlaubt|enthielt|perd|contenait|pierde|tenía|es|est|ist|sont|sind|without|ohne|sans|sin|zwischen|entre|tussen|for|in|after|before|by|im|le|la|el|die|der|das)\b", re.I)
-
-
-def _clause(tail: list[str]) -> bool:
-    """Whether an unterminated answer of a few words begins a sentence rather than being a short answer."""
-    if tail[:3] == ["no", "lipid", "is"] or tail[0] in ("yes", "no", "about", "ph"):
-        return False
-    return bool(_VERB.match(" ".join(tail[:1]))) or len([w for w in tail if _VERB.fullmatch(w)]) > 0
+# Yes, no and approximations.
+_PLAIN = re.compile(r"(?:yes|no|none|ja|nein|oui|non|sí|si|unknown|unbekannt|inconnu|desconocido)", re.I)
+_VALUE = re.compile(r"(?:about|approx(?:imately)?\.?|around|roughly|nearly|circa|ca\.?|~|≈|etwa|ungefähr|environ|unos|ph|=|:|\s)*[+-]?\d+(?:[.,]\d+)*\s*(?:%|°|[^\W\d_]{0,12}(?:/[^\W\d_]{1,6})?)", re.I)
+# Words that begin a statement of absence, and forms of to be.
+_ABSENT = re.compile(r"(?:no|none|not|nothing|kein\w*|nichts|aucune?|rien|ning[uú]n\w*|nada)\b.*\b(?:is|are|was|were|ist|sind|wird|werden|est|sont|es|está|fue)\s+\w{3,}", re.I)
+
+
+def is_short_answer(text: str) -> bool:
+    """An answer of a few words that needs no full stop: yes or no, a value, a name with or without a value, a statement of
+    absence. Whatever holds a function word begins a sentence or stands within one, and more than eight words are one."""
+    bare = re.sub(r"[*_`\"'“”]+", "", text).strip()
+    if _PLAIN.fullmatch(bare) or _VALUE.fullmatch(bare):
+        return True
+    if _ABSENT.fullmatch(bare):
+        return True
+    parts = [x.strip() for x in bare.split(",")]
+    if len(parts) > 1 and _VALUE.fullmatch(parts[-1]):
+        bare = " ".join(parts[:-1])
+    own = words(bare)
+    return len(own) <= 8 and _FUNCTION.isdisjoint(own)
 
 
 def defects(prompt: str | None, response: str | None) -> list[str]:
@@ -294,7 +325,7 @@ def defects(prompt: str | None, response: str | None) -> list[str]:
     if is_empty(response):
         return ["empty"]
     out = []
-    if is_refusal(response):
+    if is_refusal(response, prompt):
         out.append("refusal")
     if is_copy(prompt, response):
         out.append("copy")

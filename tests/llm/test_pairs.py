@@ -78,3 +78,27 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "resp_id long, prompt string, response string, defect string")
     assert sorted(tuple(r) for r in flag_pairs(df).collect()) == [(1, 0, "empty"), (1, 0, "empty"), (2, 0, "empty")]
     assert flag_pairs(df.limit(0)).count() == 0
+
+
+LONG_REFUSAL = (
+    "I cannot help with this request, and I would like to explain at some length why that is so. Questions of this kind touch on matters that people in my position are asked to leave to others, "
+    "and however politely they are put, the outcome has to stay the same. Please turn to a colleague who knows the field, or read one of the many good books about it. "
+    "I wish you the very best of luck with your work and hope that you will understand my position on the whole matter."
+)
+
+
+def test_a_refusal_may_be_long_but_not_stand_beside_an_answer():
+    assert len(LONG_REFUSAL.split()) > 80
+    assert defects(P, LONG_REFUSAL) == ["refusal"] and defects(None, LONG_REFUSAL) == ["refusal"]
+    assert defects(P, LONG_REFUSAL + " Helix 8 starts at Glu117 and ends at Gly455.") == []
+    assert defects(None, LONG_REFUSAL + " Helix 8 starts at Glu117 and ends at Gly455.") == []
+
+
+@pytest.mark.parametrize("response", ["About 7.2", "No lipid was found", "Nothing is stated", "pH 8", "glycerol, 5 %", "X-ray diffraction", "12 mM", "**8.0**", "~ 3.5 Å"])
+def test_short_answers_need_no_full_stop(response):
+    assert defects(P, response) == []
+
+
+@pytest.mark.parametrize("response", ["Reconstitution into soy", "On closer view, extraction with DDM", "Solid-state NMR of sample", "Nous avons purifié Galki", "The sample was kept", "After refinement, a conserved groove"])
+def test_broken_sentences_of_a_few_words(response):
+    assert defects(P, response)[-1:] == ["truncated"]
