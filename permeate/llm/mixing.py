@@ -44,40 +44,34 @@ def count_tokens(documents: DataFrame, tokenizer_path: str = TOKENIZER) -> DataF
     return documents.select(*cols).mapInPandas(work, "doc_id long, source string, n_tokens long")
 
 
-def _plan(tokens: DataFrame, targets: DataFrame, total_tokens: int | None, max_sources: int) -> tuple[list[dict], int]:
-    """Per listed source: share, supply and demand, and the total that is drawn. The list of sources is bounded (checked)."""
-    listed = [r.asDict() for r in targets.groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).limit(max_sources + 1).collect()]
-    if len(listed) > max_sources:
-        raise ValueError(f"more than {max_sources} target sources")
-    wanted = targets.select("source").distinct()
-    have = {r["source"]: r for r in tokens.join(F.broadcast(wanted), "source").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
-    for r in listed:
-        found = have.get(r["source"])
-        r["share"], r["repeats"] = float(r["share"] or 0.0), max(0, int(r["repeats"] or 0))
-        r["n"], r["tokens"] = (int(found["n"]), int(found["t"])) if found else (0, 0)
-        r["supply"] = r["tokens"] * r["repeats"]
-    live = [r for r in listed if r["supply"] > 0 and r["share"] > 0]
-    scale = sum(r["share"] for r in live)
-    if total_tokens is None:
-        # the largest total at which every source that exists can keep its share
-        total_tokens = int(min((r["supply"] / (r["share"] / scale) for r in live), default=0))
-    for r in listed:
-        r["goal"] = r["share"] / scale if r in live else 0.0
-        r["demand"] = min(r["supply"], int(round(r["goal"] * total_tokens)))
-    return sorted(listed, key=lambda r: r["source"] or ""), total_tokens
+#: Up to so many sources (checked by a count, about 10 MB) their plan is broadcast to the documents; beyond, the two are joined by source.
+BROADCAST_SOURCES = 100_000
 
 
-def _slopes(plan: list[dict], tilt: float) -> None:
-    """Weight schedule w(t) = goal * (1 + a * (1 - 2t)): sources with many repeats gain weight late.
+def _plan(tokens: DataFrame, targets: DataFrame, total_tokens: int | None, tilt: float) -> DataFrame:
+    """Per listed source: share, supply, demand and the slope of its weight schedule; any number of sources.
 
-    The slopes a are centred so that the weights of all sources sum to 1 at every time; their integral over the
-    whole time is the goal.
+    The schedule is w(t) = goal * (1 + a * (1 - 2t)): sources with many repeats gain weight late. The slopes a are centred so
+    that the weights of all sources sum to 1 at every time; their integral over the whole time is the goal.
     """
-    live = [r for r in plan if r["demand"] > 0]
-    mean = sum(r["goal"] * r["repeats"] for r in live) / (sum(r["goal"] for r in live) or 1.0)
-    reach = max((abs(mean - r["repeats"]) for r in live), default=0.0) or 1.0
-    for r in plan:
-        r["slope"] = tilt * (mean - r["repeats"]) / reach if r["demand"] > 0 else 0.0
+    share, repeats = F.coalesce(F.max("target_share"), F.lit(0.0)).cast("double"), F.greatest(F.coalesce(F.max("max_repeats"), F.lit(0)), F.lit(0)).cast("int")
+    listed = targets.groupBy("source").agg(share.alias("target_share"), repeats.alias("max_repeats"))
+    have = tokens.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("available_tokens"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    plan = cut(listed.join(have, "source", "left").select("source", "target_share", "max_repeats", zero("n_documents"), zero("available_tokens")))
+    supply = F.col("available_tokens") * F.col("max_repeats")
+    live = (supply > 0) & (F.col("target_share") > 0)
+    scale = plan.where(live).agg(F.sum("target_share")).first()[0] or 1.0
+    plan = plan.withColumn("goal", F.when(live, F.col("target_share") / scale).otherwise(0.0))
+    if total_tokens is None:
+        # the largest total at which every source that exists can keep its share
+        total_tokens = int(plan.where(live).agg(F.min(supply / F.col("goal"))).first()[0] or 0)
+    plan = plan.withColumn("demand", F.least(supply, F.round(F.col("goal") * total_tokens).cast("long")))
+    drawn = F.col("demand") > 0
+    row = plan.where(drawn).agg((F.sum(F.col("goal") * F.col("max_repeats")) / F.sum("goal")).alias("mean")).first()
+    mean = row[0] or 0.0
+    reach = plan.where(drawn).agg(F.max(F.abs(mean - F.col("max_repeats")))).first()[0] or 1.0
+    return plan.withColumn("slope", F.when(drawn, tilt * (mean - F.col("max_repeats")) / reach).otherwise(0.0))
 
 
 def position(share_done: Column, slope: Column) -> Column:
@@ -88,7 +82,7 @@ def position(share_done: Column, slope: Column) -> Column:
 
 
 def mix(
-    documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tilt: float = 0.5, tokenizer_path: str = TOKENIZER, bucket_rows: int = 50_000, max_sources: int = 10_000
+    documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tilt: float = 0.5, tokenizer_path: str = TOKENIZER, bucket_rows: int = 50_000, broadcast_sources: int = BROADCAST_SOURCES
 ) -> tuple[DataFrame, DataFrame]:
     """(positions, report).
 
@@ -107,15 +101,12 @@ def mix(
     """
     if not 0 <= tilt < 1:
         raise ValueError("tilt must be in [0, 1)")
-    spark = documents.sparkSession
     tokens = cut(count_tokens(documents, tokenizer_path).where("n_tokens > 0"))
-    plan, total = _plan(tokens, targets, total_tokens, max_sources)
-    _slopes(plan, tilt)
-    total_drawn = sum(r["demand"] for r in plan) or 1
-    schema = "source string, target_share double, max_repeats int, n_documents long, available_tokens long, goal double, demand long, slope double"
-    rows = [(r["source"], r["share"], r["repeats"], r["n"], r["tokens"], r["goal"], r["demand"], r["slope"]) for r in plan]
-    sources = F.broadcast(spark.createDataFrame(rows, schema))  # at most max_sources rows
-    n_buckets = max(1, -(-max((r["n"] for r in plan), default=0) // bucket_rows))
+    plan = _plan(tokens, targets, total_tokens, tilt)
+    sums = plan.agg(F.sum("demand"), F.max("n_documents"), F.count("*")).first()
+    total_drawn, most, n_sources = sums[0] or 1, sums[1] or 0, sums[2]
+    sources = F.broadcast(plan) if n_sources <= broadcast_sources else plan
+    n_buckets = max(1, -(-most // bucket_rows))
     hashed = (
         tokens.join(sources.select("source", "available_tokens", "demand", "max_repeats", "slope").where("demand > 0"), "source")
         .withColumn("h", F.xxhash64("doc_id", "source"))
@@ -135,10 +126,11 @@ def mix(
     timed = drawn.withColumn("time", position(F.least(done, F.lit(1.0)), F.col("slope"))).withColumn("position", F.floor(F.col("time") * total_drawn).cast("long"))
     positions = timed.select("doc_id", "source", "copy", "n_tokens", "time", "position")
     got = positions.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), F.count("*").alias("n_uses"), (F.max("copy") + 1).alias("most_uses"))
-    whole = Window.partitionBy(F.lit(0))  # at most max_sources rows
+    whole = got.agg(F.sum("drawn_tokens").alias("all_tokens")).withColumn("one", F.lit(1))  # one row
     report = (
-        sources.join(got, "source", "left")
-        .withColumn("all_tokens", F.sum("drawn_tokens").over(whole))
+        plan.join(got, "source", "left")
+        .withColumn("one", F.lit(1))
+        .join(F.broadcast(whole), "one")
         .select(
             "source",
             "target_share",

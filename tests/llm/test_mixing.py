@@ -57,3 +57,19 @@ def test_empty_and_nulls(spark):
     assert {x.drawn_tokens for x in mix(docs(spark).limit(0), targets(spark), tokenizer_path=PATH)[1].collect()} == {0}
     counts = {r.doc_id: r.n_tokens for r in count_tokens(docs(spark), PATH).collect()}
     assert counts[9001] == 0 and counts[9002] == 0
+
+
+def test_joined_sources_give_what_broadcast_ones_give(spark):
+    def rows(**more):
+        positions, report = mix(docs(spark), targets(spark), tokenizer_path=PATH, **more)
+        return sorted(map(tuple, positions.collect())), sorted(map(tuple, report.collect()))
+
+    assert rows() == rows(broadcast_sources=1)
+
+
+def test_any_number_of_sources(spark):
+    n = 12_000
+    many = spark.range(n).selectExpr("id as doc_id", "'protein membrane helix' as text", "concat('s', id) as source")
+    wanted = spark.range(n).selectExpr("concat('s', id) as source", f"1.0D / {n} as target_share", "1 as max_repeats")
+    report = mix(many, wanted, tokenizer_path=PATH)[1]
+    assert report.count() == n and report.where("n_uses <> 1").count() == 0
