@@ -416,7 +416,7 @@ def nearest(
         return best.select(F.col("id").alias("vec_id"), F.col("other").alias("other_id"), "similarity")
     digest = F.md5("v").alias("digest")  # of 256 bytes only the digest travels
     joined = units.select("vec_id", digest).join(several.select("rep", digest), "digest").select("rep", "vec_id")
-    copies = joined.unionByName(reps.where("n_copies = 1").select("rep", F.col("rep").alias("vec_id")))
+    copies = cut(joined).unionByName(reps.where("n_copies = 1").select("rep", F.col("rep").alias("vec_id")))
     links = best.select("id", "other", "similarity").unionByName(several.select(F.col("rep").alias("id"), F.col("rep").alias("other"), F.lit(1.0).alias("similarity")))
     # of each neighbour's copies the k + 1 smallest ids suffice for k places besides the asking vector itself
     few = copies.withColumn("c", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(F.col("c") <= k + 1)
