@@ -26,13 +26,19 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Node:
-    """A kind of child record: ``at`` is the dotted field path below the parent, ``indexed`` tells an array."""
+    """A kind of child record: ``at`` is the dotted field path below the parent, ``indexed`` tells an array, ``fields`` are
+    the columns of its subtype table (field name, column name); a dotted field name goes into a struct."""
 
     child: str
     at: str
     indexed: bool = True
     emit: bool = True
     children: tuple[Node, ...] = field(default=())
+    fields: tuple[tuple[str, str], ...] = ()
+
+    def kinds(self) -> list[Node]:
+        """All kinds of the tree that give records."""
+        return ([self] if self.emit else []) + [k for c in self.children for k in c.kinds()]
 
 
 def type_at(kind: T.DataType, dotted: str) -> T.DataType:
@@ -56,32 +62,52 @@ def state_of(value: Column, kind: T.DataType, depth: int = 1) -> Column:
     return F.when(value.isNull(), F.lit("0")).otherwise(inner)
 
 
-_LINK = "array<struct<child:string,parent_path:string,path:string,shape:string>>"
+#: State of a node that is not there.
+ABSENT = "0"
+
+
+def _link_type(root: Node, kind: T.DataType, typed: bool) -> T.ArrayType:
+    """Element type of the links: the supertype's keys and, if ``typed``, one nullable struct per kind of child."""
+    base = [T.StructField(n, T.StringType()) for n in ("child", "parent_path", "path", "shape")]
+    if not typed:
+        return T.ArrayType(T.StructType(base))
+    found: dict[str, T.StructType] = {}
+
+    def visit(node: Node, holder: T.DataType) -> None:
+        own = type_at(holder, node.at)
+        item = own.elementType if node.indexed else own
+        if node.emit:
+            found[node.child] = T.StructType([T.StructField(name, type_at(item, at)) for at, name in node.fields])
+        for c in node.children:
+            visit(c, item)
 
+    visit(root, kind)
+    return T.ArrayType(T.StructType(base + [T.StructField(c, t) for c, t in found.items()]))
 
-def _links(node: Node, holder: Column, kind: T.DataType, path: Column | None) -> Column:
-    value, found = holder, kind
-    for name in node.at.split("."):
-        value, found = value.getField(name), found[name].dataType
-    return _walk(node, value, found, path)
+
+def _inside(value: Column, dotted: str) -> Column:
+    for name in dotted.split("."):
+        value = value.getField(name)
+    return value
 
 
-def _walk(node: Node, value: Column, kind: T.DataType, path: Column | None) -> Column:
-    none = F.array().cast(_LINK)
+def _walk(node: Node, value: Column, kind: T.DataType, path: Column | None, link: T.ArrayType) -> Column:
+    """Links of a node and of all below it: the state of each node decides whether it is a record, and its variant."""
+    none = F.array().cast(link)
 
     def item(x: Column, here: Column, item_kind: T.DataType) -> Column:
-        own = F.when(
-            x.isNotNull(),
-            F.array(
-                F.struct(
-                    F.lit(node.child).alias("child"),
-                    (F.lit(None).cast("string") if path is None else path).alias("parent_path"),
-                    here.alias("path"),
-                    state_of(x, item_kind).alias("shape"),
-                )
-            ).cast(_LINK),
-        ).otherwise(none)
-        parts = ([own] if node.emit else []) + [_links(c, x, item_kind, here) for c in node.children]
+        state = state_of(x, item_kind)
+        parts = []
+        if node.emit:
+            keys = [F.lit(node.child), F.lit(None).cast("string") if path is None else path, here, state]
+            columns = []
+            for f in link.elementType.fields[4:]:
+                own = F.struct(*[_inside(x, at).alias(name) for at, name in node.fields]) if f.name == node.child and node.fields else F.lit(None)
+                columns.append(own.cast(f.dataType))
+            record = F.struct(*[c.alias(f.name) for c, f in zip(keys + columns, link.elementType.fields)])
+            parts.append(F.when(state != ABSENT, F.array(record).cast(link)).otherwise(none))
+        for c in node.children:
+            parts.append(_walk(c, _inside(x, c.at), type_at(item_kind, c.at), here, link))
         return F.concat(*parts)
 
     if not node.indexed:
@@ -93,40 +119,55 @@ def _walk(node: Node, value: Column, kind: T.DataType, path: Column | None) -> C
     return F.coalesce(F.flatten(each), none)
 
 
-def child_records(df: DataFrame, row_id: str, root: Node) -> DataFrame:
-    """Supertype table: one row per non-null child struct with ``(row_id, child, parent_path, path, shape)``.
+def child_records(df: DataFrame, row_id: str, root: Node, typed: bool = False) -> DataFrame:
+    """Supertype table: one row per record, ``(row_id, child, parent_path, path, shape)``.
+
+    A node is a record if the automaton does not find it absent; ``shape``, its state, is the variant. With ``typed`` a
+    column per kind of child holds the fields of its subtype table (`subtype_table`).
 
     One scan and one generator: the whole tree of a row becomes one array of links that is exploded once.
     Null levels and empty arrays give no rows, null elements keep their position, a struct whose fields are
     all null counts. Repeated rows count each by themselves; extra columns are ignored; an empty table gives
     an empty result. Nothing is shuffled.
     """
-    kind = df.schema[root.at.split(".")[0]].dataType
-    value = F.col(f"`{root.at.split('.')[0]}`")
-    for name in root.at.split(".")[1:]:
-        value, kind = value.getField(name), kind[name].dataType
-    links = df.select(F.col(f"`{row_id}`").alias("row_id"), F.explode(_walk(root, value, kind, None)).alias("n"))
-    return links.select("row_id", "n.child", "n.parent_path", "n.path", "n.shape")
+    kind = type_at(df.schema, root.at)
+    value = _inside(F.col(f"`{root.at.split('.')[0]}`"), ".".join(root.at.split(".")[1:])) if "." in root.at else F.col(f"`{root.at}`")
+    links = df.select(F.col(f"`{row_id}`").alias("row_id"), F.explode(_walk(root, value, kind, None, _link_type(root, df.schema, typed))).alias("n"))
+    return links.select("row_id", "n.*")
 
 
-def child_values(df: DataFrame, row_id: str, steps: list[tuple[str, bool]], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Typed subtype table of the last step: ``(row_id, path, parent_path, value, *keep)``.
+def subtype_table(records: DataFrame, node: Node, shape: str | None = None, states: str | None = None) -> DataFrame:
+    """Typed table of one kind of child, or of one of its variants: ``row_id, parent_path, path, shape`` and its fields.
 
-    ``steps`` are (field path, indexed) pairs from the top; only non-null items of the last step come out.
+    ``records`` are typed (`child_records`). The table of a variant holds only the fields that it has: ``states`` is the
+    order of the node's fields in the automaton's state, one letter each (see `variant_fields`).
     """
-    top = [F.col(f"`{row_id}`").alias("row_id"), F.col(f"`{steps[0][0]}`").alias("_v"), F.lit(None).cast("string").alias("_p")]
-    out = df.select(*top, *[F.col(f"`{k}`") for k in keep])
-    for n, (at, indexed) in enumerate(steps):
-        value = F.col("_v")
-        for name in at.split(".") if n else ():
-            value = value.getField(name)
-        parent = F.col("_p").alias("parent_path")
-        if indexed:
-            out = out.select("row_id", "_p", parent, *keep, F.posexplode(value).alias("_i", "_v"))
-            out = out.withColumn("_p", F.concat_ws(".", "_p", F.col("_i").cast("string"))).drop("_i")
-        else:
-            out = out.select("row_id", "_p", parent, *keep, value.alias("_v"))
-    return out.where(F.col("_v").isNotNull()).select("row_id", F.col("_p").alias("path"), "parent_path", F.col("_v").alias("value"), *keep)
+    own = records.where(F.col("child") == node.child)
+    names = [name for _, name in node.fields]
+    if shape is not None:
+        own = own.where(F.col("shape") == shape)
+        if states is not None:
+            names = [n for n in names if n in variant_fields(shape, states.split(","), node)]
+    return own.select("row_id", "parent_path", "path", "shape", *[F.col(f"`{node.child}`.`{n}`").alias(n) for n in names])
+
+
+def variant_fields(shape: str, state_fields: list[str], node: Node) -> list[str]:
+    """Columns of a subtype table that a variant has: those whose field the state does not call absent."""
+    there = {f for f, state in zip(state_fields, shape[1:-1]) if state != ABSENT}
+    return [name for at, name in node.fields if at.split(".")[0] in there]
+
+
+def write_subtypes(records: DataFrame, root: Node, folder: str) -> list[str]:
+    """Writes one typed parquet table per kind of child under ``folder``, its variants as partitions; gives the paths.
+
+    Rows of a variant lie together, so a reader of one variant opens only its files; keys and parent links are in each.
+    """
+    paths = []
+    for node in root.kinds():
+        path = f"{folder}/{node.child}"
+        subtype_table(records, node).write.mode("overwrite").partitionBy("shape").parquet(path)
+        paths.append(path)
+    return paths
 
 
 # ---------------------------------------------------------------- JSON bodies
@@ -238,8 +279,3 @@ def string_children(nodes: DataFrame, child: str) -> DataFrame:
 def variants(records: DataFrame) -> DataFrame:
     """How many records of each child kind fell into each structural variant."""
     return records.groupBy("child", "shape").agg(F.count("*").alias("n_records"), F.countDistinct("row_id").alias("n_rows"))
-
-
-def subtype_tables(records: DataFrame, shapes: list[tuple[str, str]]) -> dict[tuple[str, str], DataFrame]:
-    """The typed subtype table of each (child, shape); together they are the supertype table."""
-    return {(c, s): records.where((F.col("child") == c) & (F.col("shape") == s)) for c, s in shapes}

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from permeate.operators import nested, orphans, quantities
 from permeate.session import spread, table
 
-COMPONENT = nested.Node("component", "component")
-BUFFER = nested.Node("buffer", "buffer", indexed=False, children=(COMPONENT,))
-SPECIMEN = nested.Node("specimen_preparation", "specimen_preparation_list.specimen_preparation", children=(BUFFER,))
+COMPONENT = nested.Node("component", "component", fields=(("name", "name"), ("formula", "formula"), ("concentration.valueOf_", "amount"), ("concentration.units", "units")))
+BUFFER = nested.Node("buffer", "buffer", indexed=False, children=(COMPONENT,), fields=(("ph", "ph"),))
+SPECIMEN = nested.Node("specimen_preparation", "specimen_preparation_list.specimen_preparation", children=(BUFFER,), fields=(("details", "details"),))
 DETERMINATION = nested.Node("determination", "structure_determination_list", emit=False, children=(SPECIMEN,))
 
 
@@ -30,17 +30,34 @@ def p1_variants(spark: SparkSession, d: str) -> DataFrame:
     return nested.variants(_children(spark, d))
 
 
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    return nested.child_records(table(spark, d, "emdb_entries"), "row_id", DETERMINATION, typed=True)
+
+
+def p1_specimens(spark: SparkSession, d: str) -> DataFrame:
+    """Typed table of the specimens with variant and parent link."""
+    return nested.subtype_table(_typed(spark, d), SPECIMEN)
+
+
+def p1_buffers(spark: SparkSession, d: str) -> DataFrame:
+    """Typed table of the buffers with variant and parent link."""
+    return nested.subtype_table(_typed(spark, d), BUFFER)
+
+
 def p1_components(spark: SparkSession, d: str) -> DataFrame:
-    """Typed subtype table of the components, with parent link and all leaf fields."""
-    steps = [("structure_determination_list", True), ("specimen_preparation_list.specimen_preparation", True), ("buffer", False), ("component", True)]
-    out = nested.child_values(table(spark, d, "emdb_entries"), "row_id", steps)
-    return out.select("row_id", "parent_path", "path", "value.name", "value.formula", F.col("value.concentration.valueOf_").alias("amount"), F.col("value.concentration.units").alias("units"))
+    """Typed table of the components with variant, parent link and all leaf fields."""
+    return nested.subtype_table(_typed(spark, d), COMPONENT)
+
+
+def p1_bare_components(spark: SparkSession, d: str) -> DataFrame:
+    """Typed table of one variant of the components, those with a name but neither formula nor concentration."""
+    return nested.subtype_table(_typed(spark, d), COMPONENT, "(t00)", "name,formula,concentration")
 
 
 def p1_keywords(spark: SparkSession, d: str) -> DataFrame:
     """Keyword table of the JSON bodies with its entry as parent."""
     nodes = nested.json_nodes(spread(table(spark, d, "pdb_responses").select("response_id", "body")), "response_id", "body", "struct_keywords")
-    return nested.string_children(nodes, "struct_keywords").select("row_id", "parent_path", "path", "shape", "value")
+    return nested.string_children(nodes, "struct_keywords").select("row_id", "parent_path", "path", "value")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +100,10 @@ def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_variants": p1_variants,
+    "p1_specimens": p1_specimens,
+    "p1_buffers": p1_buffers,
     "p1_components": p1_components,
+    "p1_bare_components": p1_bare_components,
     "p1_keywords": p1_keywords,
     "p3_found": p3_found,
     "p3_missing_units": p3_missing_units,
@@ -107,16 +127,39 @@ found as (
   from refs r left join firsts f on f.code = r.code
   where r.code <> '' and not exists (select 1 from stays s where s.code = r.code and s.arrived_at <= r.added_at
                                      and (s.removed_at is null or s.removed_at > r.added_at)))"""
-_SQL_SPECIMENS = """
+_TEXT = "case when {0} is null then '0' when trim({0}) = '' then 'b' else 't' end"
+_PART = "case when {0} is null then '0' else 'v' end"
+_SQL_SPECIMENS = f"""
 d as (select row_id, unnest(structure_determination_list) as d, generate_subscripts(structure_determination_list, 1) - 1 as i from emdb_entries),
-s as (select row_id, i, unnest(d.specimen_preparation_list.specimen_preparation) as s,
-             generate_subscripts(d.specimen_preparation_list.specimen_preparation, 1) - 1 as j from d),
-c as (select row_id, i || '.' || j as parent_path, unnest(s.buffer.component) as c, generate_subscripts(s.buffer.component, 1) - 1 as k from s)"""
+s as (select row_id, i::varchar as parent_path, i || '.' || (generate_subscripts(d.specimen_preparation_list.specimen_preparation, 1) - 1) as path,
+             unnest(d.specimen_preparation_list.specimen_preparation) as s from d),
+c0 as (select row_id, path as parent_path, path || '.' || (generate_subscripts(s.buffer.component, 1) - 1) as path, unnest(s.buffer.component) as c from s),
+specimens as (select row_id, parent_path, path, '(' || {_PART.format("s.buffer")} || {_TEXT.format("s.details")} || ')' as shape, s.details as details from s where s is not null),
+buffers as (select row_id, path as parent_path, path, '(' || {_TEXT.format("s.buffer.ph")} || {_PART.format("s.buffer.component")} || ')' as shape, s.buffer.ph as ph from s where s.buffer is not null),
+components as (select row_id, parent_path, path, '(' || {_TEXT.format("c.name")} || {_TEXT.format("c.formula")} || {_PART.format("c.concentration")} || ')' as shape,
+             c.name as name, c.formula as formula, c.concentration.valueOf_ as amount, c.concentration.units as units from c0 where c is not null)"""
+_SQL_KEYWORDS = r"""
+j as (select response_id as row_id, body::json as j from pdb_responses where json_valid(body)),
+e as (select row_id, j, unnest(range(json_array_length(j, '$.data.entries')::bigint)) as entry from j where json_type(j, '$.data.entries') = 'ARRAY'),
+k as (select row_id, entry, j -> ('$.data.entries[' || entry || ']') as e from e),
+n as (select row_id, entry, (e -> '$.struct_keywords') as node, []::bigint[] as place from k where json_type(e) = 'OBJECT' and (e -> '$.struct_keywords') is not null
+  union all
+  select row_id, entry, case json_type(node) when 'ARRAY' then (node -> ('$[' || i || ']')) else (node -> '$.text') end, list_append(place, i)
+  from (select *, unnest(case json_type(node) when 'ARRAY' then range(json_array_length(node)::bigint) when 'OBJECT' then [0] else [] end) as i from n) where json_type(node) in ('ARRAY', 'OBJECT')),
+strings as (select row_id, entry, place, (node ->> '$') as value from n where json_type(node) = 'VARCHAR' and not regexp_full_match((node ->> '$'), '[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]*')),
+keywords as (select row_id, entry::varchar as parent_path, entry || '.' || (row_number() over (partition by row_id, entry order by place) - 1) as path, value from strings)""".replace("\\\\", "\\")
 
 ORACLE = {
     "p6_found": f"with {_SQL_REFS} select * from found",
     "p6_report": f"with {_SQL_REFS} select ref_table, period, status, count(*) as n_refs from found group by all",
-    "p1_components": f"""with {_SQL_SPECIMENS}
-select row_id, parent_path, parent_path || '.' || k as path, c.name as name, c.formula as formula,
-       c.concentration.valueOf_ as amount, c.concentration.units as units from c where c is not null""",
+    "p1_found": f"""with recursive {_SQL_SPECIMENS}, {_SQL_KEYWORDS}
+select 'emdb_entries' as source_table, row_id, 'specimen_preparation' as child, path from specimens
+union all select 'emdb_entries', row_id, 'buffer', path from buffers
+union all select 'emdb_entries', row_id, 'component', path from components
+union all select 'pdb_responses', row_id, 'struct_keywords', path from keywords""",
+    "p1_specimens": f"with {_SQL_SPECIMENS} select * from specimens",
+    "p1_buffers": f"with {_SQL_SPECIMENS} select * from buffers",
+    "p1_components": f"with {_SQL_SPECIMENS} select * from components",
+    "p1_bare_components": f"with {_SQL_SPECIMENS} select row_id, parent_path, path, shape, name from components where shape = '(t00)'",
+    "p1_keywords": f"with recursive {_SQL_KEYWORDS} select row_id, parent_path, path, value from keywords",
 }

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from permeate.operators import nested
-from permeate.plans.core_problems import DETERMINATION
+from permeate.plans.core_problems import BUFFER, COMPONENT, DETERMINATION
 
 EMDB = "row_id long, structure_determination_list array<struct<specimen_preparation_list: struct<specimen_preparation: array<struct<buffer: struct<ph: string, component: array<struct<name: string, formula: string, concentration: struct<valueOf_: string, units: string>>>>, details: string>>>>>, path string, child string"
 ROWS = [
@@ -34,11 +34,27 @@ def test_child_records_positions_and_nulls(spark):
     )
 
 
-def test_typed_subtype_table(spark):
-    df = spark.createDataFrame(ROWS, EMDB)
-    steps = [("structure_determination_list", True), ("specimen_preparation_list.specimen_preparation", True), ("buffer", False), ("component", True)]
-    got = [(r.row_id, r.parent_path, r.path, r.value.name) for r in nested.child_values(df, "row_id", steps).orderBy("path").collect()]
-    assert got == [(4, "0.2", "0.2.1", None), (4, "0.2", "0.2.2", "a")]
+def test_typed_subtype_tables(spark, tmp_path):
+    records = nested.child_records(spark.createDataFrame(ROWS, EMDB), "row_id", DETERMINATION, typed=True)
+    got = [(r.row_id, r.parent_path, r.path, r.shape, r.name, r.units) for r in nested.subtype_table(records, COMPONENT).orderBy("path").collect()]
+    assert got == [(4, "0.2", "0.2.1", "(000)", None, None), (4, "0.2", "0.2.2", "(ttv)", "a", "mM")]
+    assert [(r.path, r.ph) for r in nested.subtype_table(records, BUFFER).orderBy("path").collect()] == [("0.1", None), ("0.2", "7")]
+    assert nested.subtype_table(records, COMPONENT, "(000)", "name,formula,concentration").columns == ["row_id", "parent_path", "path", "shape"]
+    assert nested.subtype_table(records, COMPONENT, "(0tv)", "name,formula,concentration").columns[4:] == ["formula", "amount", "units"]
+    for path in nested.write_subtypes(records, DETERMINATION, str(tmp_path)):
+        back = spark.read.parquet(path)
+        kind = path.rsplit("/", 1)[1]
+        assert back.count() == records.where(f"child = '{kind}'").count() and "parent_path" in back.columns
+
+
+def test_the_state_decides_what_is_a_record(spark):
+    """An automaton that calls every node absent gives no records."""
+    before, nested.ABSENT = nested.ABSENT, "(000)"
+    try:
+        rows = nested.child_records(spark.createDataFrame(ROWS, EMDB), "row_id", DETERMINATION).where("child = 'component'").collect()
+    finally:
+        nested.ABSENT = before
+    assert "0.2.1" not in {r.path for r in rows}
 
 
 def test_empty_table(spark):
