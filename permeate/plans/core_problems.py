@@ -76,25 +76,31 @@ def _refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.direct_orphans(_refs(spark, d), orphans.presence(table(spark, d, "structures")))
+    """Step 0 of the cascade: references without a structure of their own. The rounds after it add only inherited orphans."""
+    return orphans.find_orphans(_refs(spark, d), orphans.presence(table(spark, d, "structures")), max_rounds=0).select("ref_table", "row_id", "ref_field", "status", "period")
 
 
-def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    """Orphan references per table, period and status."""
-    return p6_found(spark, d).groupBy("ref_table", "period", "status").agg(F.count("*").alias("n_refs"))
-
-
-def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Direct and inherited orphans per table and depth: structures <- mpstruc members <- pdbtm helices of the member.
+def _all_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Direct and inherited orphans: structures <- mpstruc members <- pdbtm helices and mpstruc groups of the member.
 
     Both tables refer to structures, so direct orphans of both start the cascade; a row that is one is never inherited.
     """
     pdbtm = table(spark, d, "pdbtm").select("row_id", orphans.code_key(F.col("pdbCode")).alias("code"))
     mpstruc = table(spark, d, "mpstruc").select("row_id", orphans.code_key(F.col("member_struc")).alias("code"), orphans.code_key(F.col("main_struc")).alias("main"))
     edges = [orphans.ForeignKey("pdbtm", ("code",), "mpstruc", ("code",)), orphans.ForeignKey("mpstruc", ("main",), "mpstruc", ("code",))]
-    direct = p6_found(spark, d).select(F.col("ref_table").alias("table"), "row_id")
-    out = orphans.orphan_cascade({"pdbtm": pdbtm, "mpstruc": mpstruc}, {"pdbtm": "row_id", "mpstruc": "row_id"}, edges, direct)
-    return out.groupBy(F.col("table").alias("ref_table"), "origin", "depth").agg(F.count("*").alias("n_rows"))
+    tables, ids = {"pdbtm": pdbtm, "mpstruc": mpstruc}, {"pdbtm": "row_id", "mpstruc": "row_id"}
+    return orphans.find_orphans(_refs(spark, d), orphans.presence(table(spark, d, "structures")), tables, ids, edges)
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans per table, period, origin (direct or inherited) and status. A row that is inherited but has no reference of
+    its own to structures counts under a null period."""
+    return _all_orphans(spark, d).groupBy("ref_table", "period", "origin", "status").agg(F.count("*").alias("n_rows"))
+
+
+def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Direct and inherited orphans per table and depth."""
+    return _all_orphans(spark, d).groupBy("ref_table", "origin", "depth").agg(F.count("*").alias("n_rows"))
 
 
 QUERIES = {
@@ -127,6 +133,28 @@ found as (
   from refs r left join firsts f on f.code = r.code
   where r.code <> '' and not exists (select 1 from stays s where s.code = r.code and s.arrived_at <= r.added_at
                                      and (s.removed_at is null or s.removed_at > r.added_at)))"""
+# The rounds of the cascade written out; chains in these tables end before.
+_ROUNDS = 12
+_MAIN = _CODE.format("main_struc")
+
+
+def _round(k: int) -> str:
+    return f"""
+x{k} as materialized (select m.code from m left join b{k - 1} b using (row_id) where m.code <> '' group by m.code having count(*) = count(b.row_id)),
+b{k} as materialized (select * from b{k - 1} union all select row_id, {k} from m where main in (select code from x{k}) and row_id not in (select row_id from b{k - 1}))"""
+
+
+_SQL_CASCADE = f"""{_SQL_REFS},
+m as materialized (select row_id, added_at, {_CODE.format("member_struc")} as code, {_MAIN} as main from mpstruc),
+b0 as materialized (select row_id, 0 as depth from found where ref_table = 'mpstruc'),{",".join(_round(k) for k in range(1, _ROUNDS + 1))},
+death as (select code, min(k) as depth from ({" union all ".join(f"select code, {k} as k from x{k}" for k in range(1, _ROUNDS + 1))}) group by code),
+orphan as (
+  select ref_table, period, 'direct' as origin, status, 0 as depth from found
+  union all
+  select 'mpstruc', case when m.code <> '' then strftime(m.added_at, '%Y-%m') end, 'inherited', 'inherited', b.depth from b{_ROUNDS} b join m using (row_id) where b.depth > 0
+  union all
+  select 'pdbtm', period, 'inherited', 'inherited', depth from (select row_id, strftime(added_at, '%Y-%m') as period, {_CODE.format("pdbCode")} as code from pdbtm) join death using (code)
+  where row_id not in (select row_id from found where ref_table = 'pdbtm'))"""
 _TEXT = "case when {0} is null then '0' when trim({0}) = '' then 'b' else 't' end"
 _PART = "case when {0} is null then '0' else 'v' end"
 _SQL_SPECIMENS = f"""
@@ -151,7 +179,8 @@ keywords as (select row_id, entry::varchar as parent_path, entry || '.' || (row_
 
 ORACLE = {
     "p6_found": f"with {_SQL_REFS} select * from found",
-    "p6_report": f"with {_SQL_REFS} select ref_table, period, status, count(*) as n_refs from found group by all",
+    "p6_report": f"with {_SQL_CASCADE} select ref_table, period, origin, status, count(*) as n_rows from orphan group by all",
+    "p6_cascade": f"with {_SQL_CASCADE} select ref_table, origin, depth, count(*) as n_rows from orphan group by all",
     "p1_found": f"""with recursive {_SQL_SPECIMENS}, {_SQL_KEYWORDS}
 select 'emdb_entries' as source_table, row_id, 'specimen_preparation' as child, path from specimens
 union all select 'emdb_entries', row_id, 'buffer', path from buffers
