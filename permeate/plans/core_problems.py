@@ -69,6 +69,11 @@ def p3_missing_units(spark: SparkSession, d: str) -> DataFrame:
     return quantities.predict_units(table(spark, d, "emdb_entries"))
 
 
+def p3_unit_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of the predicted units on stated amounts of the test fold whose unit is hidden, per route."""
+    return quantities.unit_quality(table(spark, d, "emdb_entries"))
+
+
 def _refs(spark: SparkSession, d: str) -> DataFrame:
     a = orphans.references(table(spark, d, "pdbtm"), "pdbtm", "row_id", "pdbCode", "added_at")
     b = orphans.references(table(spark, d, "mpstruc"), "mpstruc", "row_id", "member_struc", "added_at")
@@ -113,6 +118,7 @@ QUERIES = {
     "p1_keywords": p1_keywords,
     "p3_found": p3_found,
     "p3_missing_units": p3_missing_units,
+    "p3_unit_quality": p3_unit_quality,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p6_cascade": p6_cascade,
