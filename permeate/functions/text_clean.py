@@ -95,3 +95,13 @@ def file_stem(name: Column) -> Column:
 def first_values(maps: Column) -> Column:
     """First value of every map of an array."""
     return F.transform(maps, lambda m: F.get(F.map_values(m), F.lit(0)))
+
+
+def simulation_url(root: str, code: Column, suffix: str = "_default_dppc") -> Column:
+    """Address of the residue contacts of a structure's simulation below ``root``; null for a null code."""
+    return F.concat(F.lit(root + "data/memprotmd/simulations/"), F.lower(code), F.lit(suffix + "/files/contacts/by_resid_postprocess.csv"))
+
+
+def accessions_url(root: str, codes: Column, fields: tuple[str, ...]) -> Column:
+    """Address of a batch of accessions (an array of codes) with the wanted fields below ``root``."""
+    return F.concat(F.lit(root + "/uniprotkb/accessions?accessions="), F.array_join(codes, ","), F.lit("&fields=" + ",".join(fields) + "&format=tsv"))

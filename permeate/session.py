@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import sys
 import tempfile
 import zipfile
 from pathlib import Path
@@ -9,6 +11,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOG = logging.getLogger("permeate")
+
+
+def log(message: str) -> None:
+    """A line with the time on standard output, unless the caller has set up the logger ``permeate``."""
+    if not _LOG.handlers and not logging.getLogger().handlers:
+        handler = logging.StreamHandler(sys.stdout)
+        handler.setFormatter(logging.Formatter("%(asctime)s, %(message)s", "%Y-%m-%d %H:%M:%S"))
+        _LOG.addHandler(handler)
+        _LOG.setLevel(logging.INFO)
+    _LOG.info(message)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permeate.operators.batch import missing_keys
+from permeate.session import cut
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> None:
@@ -22,14 +23,26 @@ def append_new(rows: DataFrame, path: str, keys: list[str], partition_by: list[s
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_vectors(vectors: DataFrame, path: str, model_name: str) -> DataFrame:
+def write_vectors(vectors: DataFrame, path: str, model_name: str, multi_gpu: bool = False, devices: list[str] | None = None) -> DataFrame:
     """Vectors as parquet and a one-row metadata table beside them, which is returned."""
     vectors.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/vectors")
-    meta = vectors.sparkSession.read.parquet(f"{path}/vectors").agg(F.lit(model_name).alias("model_name"), F.max(F.size("embedding")).alias("embedding_dim"), F.count("*").alias("num_chunks"))
+    meta = vectors.sparkSession.read.parquet(f"{path}/vectors").agg(F.lit(model_name).alias("model_name"), F.max(F.size("embedding")).alias("embedding_dim"), F.count("*").alias("num_chunks"), F.lit(multi_gpu).alias("multi_gpu_used"), F.array(*[F.lit(x) for x in devices or ["CPU"]]).alias("device_info"))
     meta.write.mode("overwrite").parquet(f"{path}/metadata")
     return meta
 
 
+def store_fetched(fetched: DataFrame, path: str, errors: str) -> tuple[int, int]:
+    """Answers of `sources.rest.fetch` that are not stored yet go to ``path``, failures to the side table ``errors``.
+
+    Gives (answers, failures) of this run. The answers are cut once, so that each request is made once.
+    """
+    once = cut(fetched)
+    good, bad = once.where("error is null"), once.where("error is not null").select("key", "error", F.current_timestamp().alias("failed_at"))
+    append_new(good.select("key", "body"), path, ["key"])
+    bad.write.mode("append").parquet(errors)
+    return good.count(), bad.count()
+
+
 def write_csv(df: DataFrame, path: str, gzip_above: int = 10_000) -> str:
     """CSV with a header, compressed from more than ``gzip_above`` rows on; returns the codec."""
     codec = "gzip" if len(df.limit(gzip_above + 1).select(F.lit(1)).collect()) > gzip_above else "none"

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 DEFAULT_FIELDS = {
     "rcsb_id": [],
     "rcsb_primary_citation": ["pdbx_database_id_DOI"],
-    "exptl": ["method", "method_details"],
+    "exptl": ["method", "method_details", "details"],
     "rcsb_entry_info": ["experimental_method"],
     "struct": ["title"],
     "struct_keywords": ["text"],
@@ -25,7 +25,7 @@ DEFAULT_FIELDS = {
 
 @dataclass(frozen=True)
 class Rule:
-    """How one field is read: kind is primitive, struct, first (list element 0), expand, nest or missing."""
+    """How one field is read: kind is primitive, struct, first (list element 0), list (kept whole), expand, nest or missing."""
 
     field: str
     kind: str
@@ -50,7 +50,8 @@ def plan(schema: T.StructType, spec: dict[str, list[str]]) -> list[Rule]:
             rules.append(Rule(name, "nest" if expanded else "expand", tuple(subs)))
             expanded = True
         elif isinstance(kind, T.ArrayType):
-            rules.append(Rule(name, "first", tuple(subs)))
+            # a list that is empty wherever it occurs has nothing to index
+            rules.append(Rule(name, "list" if isinstance(kind.elementType, T.NullType) else "first", tuple(subs)))
         else:
             rules.append(Rule(name, "primitive", tuple(subs)))
     return rules
@@ -74,6 +75,10 @@ def flatten(entries: DataFrame, spec: dict[str, list[str]] | None = None, keep:
     for r in rules:
         kind = entries.schema[r.field].dataType if r.kind != "missing" else None
         value = F.col(f"`{r.field}`") if r.kind != "missing" else F.lit(None).cast("string")
+        if r.kind == "list":
+            empty = F.coalesce(value.cast("array<string>"), F.array().cast("array<string>"))
+            cols += [empty.alias(name) for name in column_names({r.field: list(r.subfields)})]
+            continue
         if not r.subfields:
             cols.append((F.get(value, F.lit(0)) if r.kind == "first" else value).alias(r.field))
             continue
@@ -85,6 +90,8 @@ def flatten(entries: DataFrame, spec: dict[str, list[str]] | None = None, keep:
                 got = F.col(f"_x_{r.field}").getField(sub) if _has(kind.elementType, sub) else null
             elif r.kind == "nest":
                 got = value.getField(sub) if _has(kind.elementType, sub) else null  # of an array of structs: an array
+            elif r.kind == "primitive" and isinstance(kind, T.StringType):
+                got = F.get_json_object(value, f"$.{sub}")  # of a field whose shape differs between entries: its JSON text
             elif r.kind == "first":
                 got = F.get(value, F.lit(0)) if not isinstance(kind.elementType, T.StructType) else null
             else:
@@ -98,10 +105,51 @@ def describe(schema: T.StructType, spec: dict[str, list[str]]) -> list[tuple[str
     return [(r.field, r.kind, ", ".join(column_names({r.field: list(r.subfields)}))) for r in plan(schema, spec)]
 
 
-def entries_of(responses: DataFrame, body: str, entry_schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Entries under ``data.entries`` of JSON bodies as typed columns, with their position ``entry``; null entries
-    and damaged bodies give no rows."""
-    schema = f"struct<data: struct<entries: array<{entry_schema}>>>"
+def infer_entries(responses: DataFrame, body: str, kind: str = "entries") -> T.StructType:
+    """Schema of the entries under ``data.<kind>``, merged over all bodies map-side; damaged bodies say nothing.
+
+    A field whose shape differs between entries is text (its JSON), as is one that is always null; a list that is empty
+    wherever it occurs has elements of the null type.
+    """
+    entries = F.try_variant_get(F.try_parse_json(F.col(body)), f"$.data.{kind}", "array<variant>")
+    one = responses.select(F.explode(entries).alias("e")).where("e is not null")
+    found = one.agg(F.schema_of_variant_agg("e")).first()[0]
+    ddl = (found or "VOID").replace("OBJECT<", "STRUCT<")
+    if not ddl.startswith("STRUCT<"):
+        return T.StructType([])
+    return _plain_types(T.DataType.fromDDL(ddl.replace("VARIANT", "STRING")))
+
+
+def _plain_types(kind: T.DataType, inside_list: bool = False) -> T.DataType:
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _plain_types(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_plain_types(kind.elementType, True))
+    if isinstance(kind, T.NullType):
+        return kind if inside_list else T.StringType()
+    return T.DoubleType() if isinstance(kind, T.DecimalType) else kind
+
+
+def _readable(kind: T.DataType) -> T.DataType:
+    """The same with text for elements of the null type, which no reader knows."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _readable(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_readable(kind.elementType))
+    return T.StringType() if isinstance(kind, T.NullType) else kind
+
+
+def entries_of(responses: DataFrame, body: str, entry_schema: str | T.StructType | None = None, keep: tuple[str, ...] = (), kind: str = "entries") -> DataFrame:
+    """Entries under ``data.<kind>`` of JSON bodies as typed columns, with their position ``entry``; null entries
+    and damaged bodies give no rows. Without a schema it is inferred over all rows (`infer_entries`)."""
+    inferred = infer_entries(responses, body, kind) if entry_schema is None else entry_schema
+    text = inferred if isinstance(inferred, str) else _readable(inferred).simpleString()
+    schema = f"struct<data: struct<`{kind}`: array<{text}>>>"
     parsed = responses.where(F.try_parse_json(F.col(body)).isNotNull()).select(*keep, F.from_json(F.col(body), schema, {"mode": "PERMISSIVE"}).alias("b"))
-    one = parsed.select(*keep, F.posexplode("b.data.entries").alias("entry", "e")).where("e is not null")
-    return one.select(*keep, "entry", "e.*")
+    one = parsed.select(*keep, F.posexplode(f"b.data.{kind}").alias("entry", "e")).where("e is not null")
+    if isinstance(inferred, str):
+        return one.select(*keep, "entry", "e.*")
+    # lists without any element get their type back, so that the planner keeps them whole
+    empty = {f.name for f in inferred if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NullType)}
+    nothing = lambda c: F.when(c.isNotNull(), F.array()).cast("array<void>")
+    return one.select(*keep, "entry", *[(nothing(F.col(f"e.`{f.name}`")) if f.name in empty else F.col(f"e.`{f.name}`")).alias(f.name) for f in inferred])

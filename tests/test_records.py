@@ -222,7 +222,7 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "p")).collect()) == ["a", "b", "c"]
     assert writers.write_csv(df, str(tmp_path / "c"), 1) == "gzip" and writers.write_csv(df, str(tmp_path / "d"), 2) == "none"
     vec = spark.createDataFrame([("a", 0, [1.0, 2.0])], "doi string, chunk_index int, embedding array<float>")
-    assert tuple(writers.write_vectors(vec, str(tmp_path / "v"), "m").first()) == ("m", 2, 1)
+    assert tuple(writers.write_vectors(vec, str(tmp_path / "v"), "m").first()) == ("m", 2, 1, False, ["CPU"])
     answers = spark.createDataFrame([("d1", "p", "r"), (" ", "p", "r"), ("d2", "p", "r"), ("d2", "p", "s")], "doi string, prompt string, response string")
     assert writers.write_responses(answers, str(tmp_path / "r")).count() == 3
     assert [r.doi for r in writers.read_responses(spark, str(tmp_path / "r")).collect()] == ["d1"]
