@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,11 @@ def zip_rows(left: DataFrame, right: DataFrame, left_order: list[str], right_ord
     return with_position(left, left_order).join(with_position(right, right_order), "pos")
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Rows of all parts under the columns of any; a column that a part lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def last_wins(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """The row with the largest position of each key (nulls in keys meet each other); folded map-side."""
     rest = [c for c in df.columns if c not in keys]

@@ -192,6 +192,12 @@ select 'emdb_entries' as source_table, row_id, 'specimen_preparation' as child,
 union all select 'emdb_entries', row_id, 'buffer', path from buffers
 union all select 'emdb_entries', row_id, 'component', path from components
 union all select 'pdb_responses', row_id, 'struct_keywords', path from keywords""",
+    "p1_variants": f"""with recursive {_SQL_SPECIMENS}, {_SQL_KEYWORDS},
+roots as (select row_id, entry, json_type(node) as kind from n where len(place) = 0),
+depth as (select row_id, entry, max(len(place)) as most, count(*) as k from strings group by all),
+records as (select 'specimen_preparation' as child, shape, row_id, 1 as k from specimens union all select 'buffer', shape, row_id, 1 from buffers union all select 'component', shape, row_id, 1 from components
+  union all select 'struct_keywords', case when kind = 'VARCHAR' then 'text' when kind = 'OBJECT' then 'object' when most = 1 then 'texts' else 'objects' end, row_id, k from depth join roots using (row_id, entry))
+select child, shape, sum(k)::bigint as n_records, count(distinct row_id) as n_rows from records group by all""",
     "p1_specimens": f"with {_SQL_SPECIMENS} select * from specimens",
     "p1_buffers": f"with {_SQL_SPECIMENS} select * from buffers",
     "p1_components": f"with {_SQL_SPECIMENS} select * from components",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permeate.functions import sequence as seq
 from permeate.functions import text_clean as tc
 from permeate.functions import vectors as v
 from permeate.models import backends
-from permeate.operators import batch, helix, hierarchy, retrieval, spatial
+from permeate.operators import batch, helix, hierarchy, retrieval, spatial, statistics
 from permeate.session import spread, table
 from permeate.sources import json_flatten, rest, xml
 
@@ -73,18 +73,11 @@ b4 as (select {grp}, regexp_replace(string_agg(piece, chr(10) || chr(10) order b
 
 @query(
     f"""with {_QUERY_SQL}, {_SIM_SQL}, {_LATEST_SQL},
-hits as (select * from sims where similarity >= 0.0 order by similarity desc, vec_id limit 2000),
-joined as (select h.vec_id, h.doi, h.similarity, l.chunk_text from hits h join latest l on h.doi = l.doi and h.chunk_index = l.chunk_index),
-{_budget_sql("joined", "doi", "similarity desc, vec_id", "chunk_text", 3000)}
+joined as (select h.vec_id, h.doi, h.similarity, l.chunk_text from sims h join latest l on h.doi = l.doi and h.chunk_index = l.chunk_index where h.similarity >= 0.0),
+{_budget_sql("joined", "doi", "similarity desc, vec_id", "chunk_text", 12000)}
 select doi, '{PROMPT}' || chr(10) || chr(10) || '**Context:**' || chr(10) || combined || chr(10) || chr(10) || '**Answer:' as combined_prompt from b4 where combined <> ''"""
 )
 def rag_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Search for the 2,000 most similar chunks only, join, ordered concatenation under a budget, template (with SQL)."""
-    return retrieval.build_prompts(table(spark, d, "vector_database"), table(spark, d, "text_database"), query_vector(spark, d), PROMPT, 0.0, 2000, 3000)
-
-
-@query()
-def rag_prompts_all(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: every hit of the search without a row cap, join, ordered concatenation under the reference's budget, template."""
     return retrieval.build_prompts(table(spark, d, "vector_database"), table(spark, d, "text_database"), query_vector(spark, d), PROMPT, 0.0, None, 12_000)
 
@@ -163,26 +156,37 @@ def buffer_to_text(spark: SparkSession, d: str) -> DataFrame:
     return rest.first_specimen(table(spark, d, "emdb_entries"))
 
 
-_IDS = "case structure_id % 4 when 0 then upper(trim(rcsb_id)) when 1 then upper(trim(rcsb_id))[1:4] || '_1' when 2 then upper(trim(rcsb_id))[1:4] || '.A' else upper(trim(rcsb_id))[1:4] || '-1' end"
+@query("""select doc_id, regexp_replace(regexp_replace(title, '^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$', '', 'g'), '[/\\\\ ]', '_', 'g') as stem from documents""")
+def file_stems(spark: SparkSession, d: str) -> DataFrame:
+    """Titles as names that are safe for files."""
+    return table(spark, d, "documents").select("doc_id", tc.file_stem(F.col("title")).alias("stem"))
+
+
+_ROOT = "http://localhost/"
 
 
 @query(
-    f"""select structure_id, id, case when contains(id, '_') then 'polymer_entities' when contains(id, '.') then 'polymer_entity_instances' when contains(id, '-') then 'assemblies' when length(id) = 4 then 'entries' end as kind
-from (select structure_id, {_IDS} as id from structures where rcsb_id is not null and length(trim(rcsb_id)) = 4)"""
+    f"""select structure_id, '{_ROOT}data/memprotmd/simulations/' || lower(rcsb_id) || '_default_dppc/files/contacts/by_resid_postprocess.csv' as contacts,
+'{_ROOT}uniprotkb/accessions?accessions=' || array_to_string(list_filter([rcsb_id, structure_id::varchar], lambda x: x is not null), ',') || '&fields=accession,ft_transmem&format=tsv' as accessions from structures"""
 )
-def id_classify(spark: SparkSession, d: str) -> DataFrame:
-    code = F.upper(F.trim("rcsb_id"))
-    short, kind = F.substring(code, 1, 4), F.col("structure_id") % 4
-    made = F.when(kind == 0, code).when(kind == 1, F.concat(short, F.lit("_1"))).when(kind == 2, F.concat(short, F.lit(".A"))).otherwise(F.concat(short, F.lit("-1")))
-    rows = table(spark, d, "structures").where("rcsb_id is not null and length(trim(rcsb_id)) = 4").select("structure_id", made.alias("id"))
-    return rows.select("structure_id", "id", batch.id_kind(F.col("id")).alias("kind"))
+def url_build(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of per-structure tables and of batches of accessions."""
+    codes = F.array("rcsb_id", F.col("structure_id").cast("string"))
+    return table(spark, d, "structures").select("structure_id", tc.simulation_url(_ROOT, F.col("rcsb_id")).alias("contacts"), tc.accessions_url(_ROOT.rstrip("/"), codes, ("accession", "ft_transmem")).alias("accessions"))
 
 
-@query()
-def id_classify_all(spark: SparkSession, d: str) -> DataFrame:
-    """The codes of all rows as they are, without outer white space; a null or blank code is no id and has no kind."""
+_STRIPPED = r"nullif(upper(regexp_replace({0}, '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g')), '')"
+
+
+@query(
+    f"""select structure_id, id, case when contains(id, '_') then 'polymer_entities' when contains(id, '.') then 'polymer_entity_instances' when contains(id, '-') then 'assemblies' when length(id) = 4 then 'entries' end as kind
+from (select structure_id, c || case structure_id % 4 when 0 then '' when 1 then '_1' when 2 then '.A' else '-1' end as id from (select structure_id, {_STRIPPED.format("rcsb_id")} as c from structures))"""
+)
+def id_classify(spark: SparkSession, d: str) -> DataFrame:
+    """The codes of all rows, in four forms of ids; a null or blank code is no id and has no kind."""
     flat = F.upper(F.regexp_replace("rcsb_id", r"(?U)^\s+|\s+$", ""))
-    code = F.when(flat != "", flat)
+    form = F.get(F.array(F.lit(""), F.lit("_1"), F.lit(".A"), F.lit("-1")), (F.col("structure_id") % 4).cast("int"))
+    code = F.when(flat != "", F.concat(flat, form))
     return table(spark, d, "structures").select("structure_id", code.alias("id"), F.when(code.isNotNull(), batch.id_kind(code)).alias("kind"))
 
 
@@ -207,6 +211,25 @@ def json_flatten_entries(spark: SparkSession, d: str) -> DataFrame:
     return json_flatten.flatten(entries, SPEC, ("response_id", "entry"))
 
 
+_TEXT_AT = "case when json_type(e, '$.{0}') = 'OBJECT' then e ->> '$.{0}.{1}' end"
+
+
+@query(
+    f"""with ok as (select response_id, body::json as j from pdb_responses where json_valid(body)),
+e as (select response_id, unnest(range(json_array_length(j, '$.data.entries')::bigint)) as entry, j from ok where json_type(j, '$.data.entries') = 'ARRAY'),
+x as (select response_id, entry, j -> ('$.data.entries[' || entry || ']') as e from e),
+n as (select *, case when json_type(e, '$.exptl') = 'ARRAY' then json_array_length(e, '$.exptl') else 0 end as k from x where json_type(e) = 'OBJECT'),
+y as (select *, unnest(case when k = 0 then [999999] else range(k::bigint) end) as i from n)
+select response_id, entry, e ->> '$.rcsb_id' as rcsb_id, {_TEXT_AT.format("rcsb_primary_citation", "pdbx_database_id_DOI")} as "rcsb_primary_citation.pdbx_database_id_DOI",
+       e ->> ('$.exptl[' || i || '].method') as "exptl.method", e ->> ('$.exptl[' || i || '].method_details') as "exptl.method_details", e ->> ('$.exptl[' || i || '].details') as "exptl.details",
+       {_TEXT_AT.format("rcsb_entry_info", "experimental_method")} as "rcsb_entry_info.experimental_method", {_TEXT_AT.format("struct", "title")} as "struct.title", {_TEXT_AT.format("struct_keywords", "text")} as "struct_keywords.text" from y"""
+)
+def json_flatten_default(spark: SparkSession, d: str) -> DataFrame:
+    """The default fields with the schema inferred over all bodies; fields of varying shape are their JSON text."""
+    entries = json_flatten.entries_of(table(spark, d, "pdb_responses"), "body", None, ("response_id",))
+    return json_flatten.flatten(entries, None, ("response_id", "entry"))
+
+
 @query("select event_id, (props::json ->> '$.k')::bigint as k from events")
 def json_scalar(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"))
@@ -214,8 +237,17 @@ def json_scalar(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select row_id, structure_determination_list[1].specimen_preparation_list.specimen_preparation[1].buffer.ph as ph from emdb_entries")
 def list_first_element(spark: SparkSession, d: str) -> DataFrame:
-    first = F.get(F.get(F.col("structure_determination_list"), F.lit(0))["specimen_preparation_list"]["specimen_preparation"], F.lit(0))
-    return table(spark, d, "emdb_entries").select("row_id", first["buffer"]["ph"].alias("ph"))
+    """pH of the first specimen of the first determination: two list fields without subfields, element 0 of each."""
+    first = json_flatten.flatten(table(spark, d, "emdb_entries"), {"structure_determination_list": []}, ("row_id",))
+    specimens = first.select("row_id", F.col("structure_determination_list.specimen_preparation_list.specimen_preparation").alias("specimens"))
+    return json_flatten.flatten(specimens, {"specimens": []}, ("row_id",)).select("row_id", F.col("specimens.buffer.ph").alias("ph"))
+
+
+@query("select event_id, [(props::json ->> '$.k'), event_id::varchar] as first from events")
+def map_first_values(spark: SparkSession, d: str) -> DataFrame:
+    """First value of every map of a list."""
+    maps = F.array(F.from_json("props", "map<string,string>"), F.create_map(F.lit("id"), F.col("event_id").cast("string")))
+    return table(spark, d, "events").select("event_id", tc.first_values(maps).alias("first"))
 
 
 @query(
@@ -225,7 +257,8 @@ def explode_outer_items(spark: SparkSession, d: str) -> DataFrame:
     """Items of each order as a list and back; orders without items keep one row of nulls."""
     items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("items"))
     orders = table(spark, d, "orders").select("o_orderkey").join(items, "o_orderkey", "left")
-    return orders.select("o_orderkey", F.explode_outer("items").alias("i")).select("o_orderkey", "i.l_linenumber", "i.l_quantity")
+    flat = json_flatten.flatten(orders, {"o_orderkey": [], "items": ["l_linenumber", "l_quantity"]})
+    return flat.toDF("o_orderkey", "l_linenumber", "l_quantity")
 
 
 # ---------------------------------------------------------------- XML
@@ -236,24 +269,18 @@ def _tag(name: str, value) -> F.Column:
     return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"<{name}>"), safe, F.lit(f"</{name}>")))
 
 
-# rows whose codes an XML reader gives back as they are: without outer white space
-_PLAIN = r"group_name rlike '^\\S' and main_struc rlike '^\\S([^\n]*\\S)?$' and (member_struc is null or member_struc rlike '^\\S([^\n]*\\S)?$') and (member_struc is not null or member_name is null)"
-_PLAIN_SQL = r"regexp_matches(group_name, '^\S') and regexp_matches(main_struc, '^\S([^\n]*\S)?$') and (member_struc is null or regexp_matches(member_struc, '^\S([^\n]*\S)?$')) and (member_struc is not null or member_name is null)"
+_XML = r"nullif(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '')"
+_XML_ROW = {c: _XML.format(c) for c in ("group_name", "subgroup", "main_struc", "main_name", "main_res", "main_species", "main_taxdom", "member_struc", "member_name")}
 
 
 @query(
-    f"""select row_id, group_name, subgroup, main_struc, main_name, main_res, main_species, main_taxdom, member_struc, member_name,
-case when member_struc is not null then main_species end as member_species, case when member_struc is not null then main_taxdom end as member_taxdom, case when member_struc is not null then main_res end as member_res
-from mpstruc where {_PLAIN_SQL}"""
+    f"""select row_id, {", ".join(f"{x} as {c}" for c, x in _XML_ROW.items())},
+case when has then {_XML_ROW["main_species"]} end as member_species, case when has then {_XML_ROW["main_taxdom"]} end as member_taxdom, case when has then {_XML_ROW["main_res"]} end as member_res
+from (select *, member_struc is not null or member_name is not null as has from mpstruc)"""
 )
 def xml_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Each row written as an XML group and read back through the nested reader."""
-    return _groups(table(spark, d, "mpstruc").where(_PLAIN))
-
-
-@query()
-def xml_groups_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same for all rows: the reader drops outer white space, blank elements are null or blank."""
+    """Each row written as an XML group and read back through the nested reader, which drops outer white space; a blank
+    element is null."""
     return _groups(table(spark, d, "mpstruc"))
 
 
@@ -271,18 +298,71 @@ def _groups(rows: DataFrame) -> DataFrame:
     )
     text = F.concat(F.lit("<group>"), _tag("name", F.col("group_name")), F.lit("<subgroups><subgroup>"), _tag("name", F.col("subgroup")), F.lit("<proteins>"), protein, F.lit("</proteins></subgroup></subgroups></group>"))
     parsed = rows.select("row_id", xml.xml_column(text, xml.GROUP).alias("g")).select("row_id", "g.*")
-    return xml.group_rows(parsed, keep=("row_id",))
+    out = xml.group_rows(parsed, keep=("row_id",))
+    return out.select("row_id", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in out.columns if c != "row_id"])
 
 
-@query("select upper(rcsb_id) as \"pdbCode\", structure_id::varchar as topdb_id, method as membrane from structures where nullif(trim(rcsb_id), '') = rcsb_id and nullif(trim(method), '') is not null")
+@query(
+    r"""select upper(regexp_replace(rcsb_id, '[\t\n\r]', ' ', 'g')) as "pdbCode", structure_id::varchar as topdb_id, case when regexp_matches(method, '[^ \t\n\r]') then method end as membrane
+from structures where rcsb_id is not null"""
+)
 def xml_topology(spark: SparkSession, d: str) -> DataFrame:
-    return _topology(table(spark, d, "structures").where("nullif(trim(rcsb_id), '') = rcsb_id and nullif(trim(method), '') is not null"))
+    """Each row written as a topology entry and read back: a null code is no structure, its entry has no row; a null or blank
+    method gives no membrane."""
+    return _topology(table(spark, d, "structures"))
 
 
-@query()
-def xml_topology_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same for all rows: a null code is no structure, its entry has no row; a null or blank method gives none."""
-    return _topology(table(spark, d, "structures"))
+def _regions(rows: DataFrame) -> DataFrame:
+    """Each helix row written as an XML chain: the segment before with the type of the side, the region, the segment behind."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    n, m, k = F.char_length(part("n_flank")), F.char_length(part("region_seq")), F.char_length(part("c_flank"))
+
+    def region(kind, begin, end) -> F.Column:
+        return F.concat(F.lit('<REGION seq_beg="'), begin.cast("string"), F.lit('" pdb_beg="'), begin.cast("string"), F.lit('" seq_end="'), end.cast("string"), F.lit('" pdb_end="'), end.cast("string"), F.lit('" type="'), kind, F.lit('"/>'))
+
+    text = F.concat(
+        F.lit('<x:pdbtm xmlns:x="urn:pdbtm" ID="'),
+        F.col("row_id").cast("string"),
+        F.lit('"><x:CHAIN CHAINID="'),
+        part("chain_id"),
+        F.lit('" NUM_TM="'),
+        part(F.col("num_tm").cast("string")),
+        F.lit('" TYPE="'),
+        part("chain_type"),
+        F.lit('"><SEQ>'),
+        part("n_flank"),
+        F.lit("\n "),
+        part("region_seq"),
+        part("c_flank"),
+        F.lit("</SEQ>"),
+        F.when(n > 0, region(part("prev_type"), F.lit(1), n)).otherwise(F.lit("")),
+        region(part("region_type"), n + 1, n + m),
+        F.when(k > 0, region(F.lit("1"), n + m + 1, n + m + k)).otherwise(F.lit("")),
+        F.lit("</x:CHAIN></x:pdbtm>"),
+    )
+    return rows.select(xml.xml_column(text, xml.CHAINS).alias("c")).select("c.*")
+
+
+_CHAIN_SQL = """c as (select row_id::varchar as "pdbCode", nullif(trim(chain_id), '') as chain_id, num_tm, nullif(trim(chain_type), '') as chain_type, coalesce(n_flank, '') as n, coalesce(region_seq, '') as r, coalesce(c_flank, '') as k,
+  region_type, case when coalesce(n_flank, '') <> '' then prev_type else '0' end as prev_type from pdbtm)"""
+
+
+@query(f"""with {_CHAIN_SQL} select "pdbCode", chain_id, num_tm, chain_type, n || r || k as sequence, 1 + (n <> '')::int + (k <> '')::int as n_regions from c""")
+def xml_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Chains read from XML: one row each with its sequence without white space."""
+    chains = xml.chain_rows(_regions(table(spark, d, "pdbtm")))
+    blank = lambda c: F.when(F.trim(c) != "", F.trim(c)).alias(c)
+    return chains.select("pdbCode", blank("chain_id"), "num_tm", blank("chain_type"), F.coalesce("sequence", F.lit("")).alias("sequence"), F.size("regions").alias("n_regions"))
+
+
+@query(
+    f"""with {_CHAIN_SQL} select "pdbCode", region_type, coalesce(prev_type, '') as prev_type, length(n) + 1 as region_beg, length(n) + length(r) as region_end, n[greatest(length(n) - 4, 1):] as n_flank, r as region_seq, k[:5] as c_flank
+from c where region_type = 'H' and n || r || k <> ''"""
+)
+def xml_helices(spark: SparkSession, d: str) -> DataFrame:
+    """Helix rows read from XML: region, type of the region before, flanks of five residues."""
+    rows = helix.helix_rows(xml.chain_rows(_regions(table(spark, d, "pdbtm"))), 5)
+    return rows.where("region_seq is not null").select("pdbCode", "region_type", "prev_type", "region_beg", "region_end", "n_flank", "region_seq", "c_flank")
 
 
 def _topology(rows: DataFrame) -> DataFrame:
@@ -296,9 +376,11 @@ select l_orderkey, l_linenumber, prev_type from r where l_returnflag = 'N' and p
 )
 def lag_prev_type_filter(spark: SparkSession, d: str) -> DataFrame:
     """Lag over all rows of a chain, then the filters."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.lag("l_returnflag", 1, "0").over(w).alias("prev_type"))
-    return rows.where((F.col("l_returnflag") == "N") & ~F.coalesce(F.col("prev_type").isin("R", "0"), F.lit(False))).select("l_orderkey", "l_linenumber", "prev_type")
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag")
+    chains = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("regions"))
+    rows = chains.select("l_orderkey", F.explode(helix.lagged_regions(F.col("regions"), "l_returnflag")).alias("x"))
+    out = rows.select("l_orderkey", F.col("x.region.l_linenumber").alias("l_linenumber"), F.col("x.region.l_returnflag").alias("flag"), "x.prev_type")
+    return out.where((F.col("flag") == "N") & ~F.coalesce(F.col("prev_type").isin("R", "0"), F.lit(False))).select("l_orderkey", "l_linenumber", "prev_type")
 
 
 _SEQ = "coalesce(n_flank, '') || coalesce(region_seq, '') || coalesce(c_flank, '')"
@@ -326,6 +408,12 @@ def helix_align(spark: SparkSession, d: str) -> DataFrame:
     return helix.helix_view(table(spark, d, "pdbtm").where("region_type = 'H'"), align=True)
 
 
+@query("select row_id, region_seq[3:7] as part from pdbtm")
+def zero_based_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Residues 2 to 6, counted from 0, both inclusive."""
+    return table(spark, d, "pdbtm").select("row_id", tc.slice_0based(F.col("region_seq"), F.lit(2), F.lit(6)).alias("part"))
+
+
 # ---------------------------------------------------------------- sequence statistics
 
 _GROUPED = "regexp_replace(translate(upper({0}), 'LV', 'II'), '[^ICAMWFPGRNDEQHKSTY]', '', 'g')"
@@ -377,14 +465,13 @@ def seq_hydrophobicity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select l_returnflag, round(avg(l_quantity), 6) as mean, round(stddev_pop(l_quantity), 6) as std, median(l_quantity) as median from lineitem group by l_returnflag")
 def summary_stats(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_pop("l_quantity"), 6).alias("std"), F.median("l_quantity").alias("median"))
+    out = statistics.summary(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
+    return out.select("l_returnflag", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "median")
 
 
 @query("with m as (select l_returnflag, median(l_quantity) as m from lineitem group by l_returnflag) select l_returnflag, median(abs(l_quantity - m)) as mad from lineitem join m using (l_returnflag) group by l_returnflag")
 def median_deviation(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity")
-    middle = rows.groupBy("l_returnflag").agg(F.median("l_quantity").alias("m"))
-    return rows.join(F.broadcast(middle), "l_returnflag").groupBy("l_returnflag").agg(F.median(F.abs(F.col("l_quantity") - F.col("m"))).alias("mad"))
+    return statistics.median_deviation(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
 
 
 @query(
@@ -398,7 +485,42 @@ def zscore_classify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(z, 6).alias("zscore"), seq.segment_class(z).alias("class"))
 
 
-@query()
+@query(
+    """with z as (select l_orderkey, l_linenumber, l_discount * 30 - 2.4 as de, l_tax * 50 - 3 + 0.64 as dh from lineitem),
+q as (select *, de * de / power(0.30, 2) + dh * dh / power(2.85, 2) - 2 * 0.5 * de * dh / (0.30 * 2.85) as z0 from z)
+select l_orderkey, l_linenumber, round(case when 0.436 * 0.30 * dh < -1 * 2.85 * de then -z0 else z0 end, 6) as zscore from q"""
+)
+def zscore_correlated(spark: SparkSession, d: str) -> DataFrame:
+    """Signed z-score with a correlation of 0.5 between its two parts."""
+    z = seq.signed_zscore(F.col("l_discount") * 30, F.col("l_tax") * 50 - 3, 0.5)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(z, 6).alias("zscore"))
+
+
+@query("select vec_id, case when len(x) > 0 then round(list_avg(x), 6) else -1 end as mean, case when len(x) > 0 then round(list_stddev_pop(x), 5) else -1 end as std from (select vec_id, embedding::double[] as x from vector_database where embedding is not null)")
+def list_mean_std(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and population deviation of each list; -1 for an empty one."""
+    rows = table(spark, d, "vector_database").where("embedding is not null").select("vec_id", seq.mean_std(F.col("embedding").cast("array<double>")).alias("m"))
+    return rows.select("vec_id", F.round("m.mean", 6).alias("mean"), F.round("m.std", 5).alias("std"))
+
+
+_RESIDUES = "map {" + ", ".join(f"'{k}': {x}::double" for k, (_, _, x) in seq.HYDROPHOBICITY.items()) + "}"
+
+
+@query(
+    f"""with recursive s as (select row_id, n_flank || region_seq || c_flank as q, length(n_flank)::bigint as l, (length(n_flank) + length(region_seq) - 1)::bigint as e, 19 - length(region_seq) as k
+  from pdbtm where region_seq <> '' and n_flank is not null and c_flank is not null),
+g as (select *, 0 as step from s union all
+  select row_id, q, case when a is null and b is null or b is null or a <= b then l - 1 else l end, case when a is null and b is null or a is null or a > b or a = b then e + 1 else e end, k, step + 1
+  from (select *, case when l >= 1 then coalesce({_RESIDUES}[upper(q[l])], {seq.UNKNOWN_RESIDUE}) end as a, case when e + 1 < length(q) then coalesce({_RESIDUES}[upper(q[e + 2])], {seq.UNKNOWN_RESIDUE}) end as b from g)
+  where step < k and e - l + 1 < 19),
+h as (select row_id, case when l < 0 then right(q, -l) else substring(q, l + 1, e - l + 1) end as h from (select row_id, arg_max(q, step) as q, arg_max(l, step) as l, arg_max(e, step) as e from g group by row_id)),
+d as (select distinct h from h),
+w as (select h, avg(case when length(t) > 0 then {_ENTROPY} else -1 end) as e from (select h, {_GROUPED.format('h[i:i + 11]')} as t from (select h, unnest(range(1, (length(h) - 10)::bigint)) as i from d where length(h) >= 12)) group by h),
+x as (select h, avg(list_sum(list_transform(string_split(upper(h[i:i + 18]), ''), lambda c: coalesce({_RESIDUES}[c], 0)))) as x from (select h, unnest(range(1, (length(h) - 17)::bigint)) as i from d where length(h) >= 19) group by h),
+z as (select d.h, coalesce(w.e, -1) - {seq.ENTROPY_CENTRE} as de, coalesce(x.x, -1) - {seq.HYDRO_CENTRE} as dh from d left join w using (h) left join x using (h)),
+c as (select h, (case when {seq.SIGN_SLOPE} * {seq.ENTROPY_SPREAD} * dh < -{seq.HYDRO_SPREAD} * de then -1 else 1 end) * (de * de / pow({seq.ENTROPY_SPREAD}, 2) + dh * dh / pow({seq.HYDRO_SPREAD}, 2)) as z from z)
+select row_id, case when z >= {seq.COMPLEX_FROM} then 'complex' when z <= {seq.SIMPLE_TO} then 'simple' else 'twilight' end as class from h join c using (h)"""
+)
 def tm_classify(spark: SparkSession, d: str) -> DataFrame:
     """Class of each helix from its segment within the flanked sequence."""
     rows = table(spark, d, "pdbtm").where("region_seq <> '' and n_flank is not null and c_flank is not null")
@@ -440,17 +562,49 @@ free as (select a.structure_id, a.atom_id, count(*) filter (where not exists (se
   and pow(a.x + 3.1 * px - b.x, 2) + pow(a.y + 3.1 * py - b.y, 2) + pow(a.z + 3.1 * pz - b.z, 2) <= 3.1 * 3.1)) as n_free from a, p group by 1, 2)"""
 
 
-@query()
+@query(f"with {_SASA_SQL} select structure_id, atom_id, n_free, round(n_free * 3.1 * 3.1 * 4 * pi() / 100, 4) as sasa from free")
 def sasa_atoms(spark: SparkSession, d: str) -> DataFrame:
     return spatial.surface(atoms(spark, d)).select("structure_id", "atom_id", "n_free", F.round("sasa", 4).alias("sasa"))
 
 
-@query()
+@query(f"with {_SASA_SQL} select structure_id, round(sum(n_free * 3.1 * 3.1 * 4 * pi() / 100), 4) as sasa from free group by structure_id")
 def sasa_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Surface summed per structure."""
     return spatial.surface(atoms(spark, d), level="S").select("structure_id", F.round("sasa", 4).alias("sasa"))
 
 
+_PARTS_SQL = f"{_SASA_SQL}, parts as (select structure_id, 1 as model_id, atom_id % 2 as chain_id, atom_id % 7 as residue_id, n_free * 3.1 * 3.1 * 4 * pi() / 100 as sasa from free)"
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return atoms(spark, d).withColumns({"model_id": F.lit(1), "chain_id": F.col("atom_id") % 2, "residue_id": F.col("atom_id") % 7})
+
+
+@query(f"with {_PARTS_SQL} select structure_id, model_id, chain_id, residue_id, round(sum(sasa), 4) as sasa from parts group by all")
+def sasa_residues(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.surface(_parts(spark, d), level="R").withColumn("sasa", F.round("sasa", 4))
+
+
+@query(f"with {_PARTS_SQL} select structure_id, model_id, chain_id, round(sum(sasa), 4) as sasa from parts group by all")
+def sasa_chains(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.surface(_parts(spark, d), level="C").withColumn("sasa", F.round("sasa", 4))
+
+
+@query(f"with {_PARTS_SQL} select structure_id, model_id, round(sum(sasa), 4) as sasa from parts group by all")
+def sasa_models(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.surface(_parts(spark, d), level="M").withColumn("sasa", F.round("sasa", 4))
+
+
+_RADII_SQL = "map {" + ", ".join(f"'{k}': {v}" for k, v in (spatial.RADII | {"C": 1.75}).items()) + "}"
+
+
+@query(f"select p_partkey, upper(p_name[1:1]) as element, coalesce({_RADII_SQL}[upper(p_name[1:1])], {spatial.OTHER_RADIUS})::double as radius from part")
+def atom_radii(spark: SparkSession, d: str) -> DataFrame:
+    """Radius by element (here the first letter of a name), with one overridden and the default for unknown ones."""
+    element = F.substring("p_name", 1, 1)
+    return table(spark, d, "part").select("p_partkey", F.upper(element).alias("element"), spatial.atom_radius(element, {"c": 1.75}).alias("radius"))
+
+
 # ---------------------------------------------------------------- hierarchy, batches, lookups
 
 
@@ -468,7 +622,7 @@ def hierarchy_fill(spark: SparkSession, d: str) -> DataFrame:
     """select r_name, n_name, round(sum(c_acctbal), 2) as balance, grouping(r_name, n_name)::bigint as level from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)"""
 )
 def hierarchy_rollup(spark: SparkSession, d: str) -> DataFrame:
-    joined = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return hierarchy.rollup_sums(joined, ["r_name", "n_name"], "c_acctbal").select("r_name", "n_name", F.round("sum_c_acctbal", 2).alias("balance"), F.col("level").cast("long").alias("level"))
 
 
@@ -492,11 +646,12 @@ def balanced_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select resp_id, item_id from (select resp_id, row_number() over (order by resp_id) as p from llm_responses) join (select item_id, row_number() over (order by item_id) as p from eval_items) using (p)"""
+    """select resp_id, l.doi, prompt, item_id, passage from (select *, row_number() over (order by resp_id) as p from llm_responses) l join (select *, row_number() over (order by item_id) as p from eval_items) using (p)"""
 )
 def zip_positional(spark: SparkSession, d: str) -> DataFrame:
-    left, right = table(spark, d, "llm_responses").select("resp_id"), table(spark, d, "eval_items").select("item_id")
-    return batch.zip_rows(left, right, ["resp_id"], ["item_id"]).select("resp_id", "item_id")
+    """Whole rows of two tables side by side, by position."""
+    left, right = table(spark, d, "llm_responses").select("resp_id", "doi", "prompt"), table(spark, d, "eval_items").select("item_id", "passage")
+    return batch.zip_rows(left, right, ["resp_id"], ["item_id"]).drop("pos")
 
 
 @query("select vec_id, doi, chunk_index from vector_database v where not exists (select 1 from text_database t where t.doi = v.doi and t.chunk_index = v.chunk_index)")
@@ -509,7 +664,7 @@ def anti_existing(spark: SparkSession, d: str) -> DataFrame:
 @query("select doi, source from (select doi, 'text' as source from text_database union all select doi, 'vector' from vector_database union all select doi, 'response' from llm_responses)")
 def union_batches(spark: SparkSession, d: str) -> DataFrame:
     parts = [table(spark, d, t).select("doi", F.lit(n).alias("source")) for t, n in (("text_database", "text"), ("vector_database", "vector"), ("llm_responses", "response"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return batch.union_all(parts)
 
 
 @query("select doi, min_by(text_id, length(chunk_text)) as shortest from (select doi, text_id, chunk_text, row_number() over (partition by doi order by length(chunk_text), text_id) as rn from text_database where chunk_text is not null) where rn = 1 group by doi")
@@ -527,7 +682,10 @@ def embed_stub(spark: SparkSession, d: str) -> DataFrame:
     return backends.embed(spread(table(spark, d, "text_database").select("text_id", "chunk_text")), "chunk_text", backends.hash_embedder).select("text_id", "embedding")
 
 
-@query()
+@query(
+    r"""select resp_id, case when prompt is not null then trim('You answer. ' || array_to_string((list_filter(string_split_regex(prompt, '[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+'), lambda w: w <> ''))[-5:], ' ')) end as response,
+case when prompt is null then 'AttributeError: ' || chr(39) || 'NoneType' || chr(39) || ' object has no attribute ' || chr(39) || 'split' || chr(39) end as error from llm_responses"""
+)
 def chat_stub(spark: SparkSession, d: str) -> DataFrame:
     """Answers to all prompts from the stand-in model."""
     return backends.chat(table(spark, d, "llm_responses").select("resp_id", "prompt"), backends.echo_chat, "You answer.").select("resp_id", "response", "error")

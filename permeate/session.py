@@ -63,9 +63,15 @@ def cut(df: DataFrame) -> DataFrame:
     folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
+    conf = spark.sparkContext._jsc.sc().conf()
+    if not conf.contains(_CLEAN):  # the files go when the last frame that reads them is collected
+        conf.set(_CLEAN, "true")
     return df.checkpoint(eager=True)
 
 
+_CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 _KEPT: dict[str, object] = {}
 
 

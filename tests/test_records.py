@@ -258,13 +258,13 @@ def test_whole_tables_reach_the_record_operators(spark, tmp_path):
     fields = "group_name subgroup main_struc main_name main_res main_species main_taxdom member_struc member_name".split()
     rows = [(i, "g", "s", main, "n", "2", "sp", "t", member, name) for i, (main, member, name) in enumerate([("1abc", "2abc", "m"), (" 1abc ", " 2abc\n", "m"), (" ", " ", "m"), (None, None, None), ("1abc", None, "m")])]
     spark.createDataFrame(rows, "row_id long, " + ", ".join(f"{f} string" for f in fields)).write.parquet(f"{tmp_path}/mpstruc.parquet")
-    q = {k: catalogue.QUERIES[k](spark, str(tmp_path)).collect() for k in ("id_classify_all", "xml_groups_all", "xml_topology_all")}
-    kinds = {r.structure_id: (r.id, r.kind) for r in q["id_classify_all"]}
-    assert kinds == {1: ("1ABC", "entries"), 2: ("PDB_00001ABC", "polymer_entities"), 3: ("1ABC", "entries"), 4: (None, None), 5: (None, None), 6: ("2ABC", "entries")}
-    got = {r.row_id: r for r in q["xml_groups_all"]}
+    q = {k: catalogue.QUERIES[k](spark, str(tmp_path)).collect() for k in ("id_classify", "xml_groups", "xml_topology")}
+    kinds = {r.structure_id: (r.id, r.kind) for r in q["id_classify"]}
+    assert kinds == {1: ("1ABC_1", "polymer_entities"), 2: ("PDB_00001ABC.A", "polymer_entities"), 3: ("1ABC-1", "assemblies"), 4: (None, None), 5: (None, None), 6: ("2ABC.A", "polymer_entity_instances")}
+    got = {r.row_id: r for r in q["xml_groups"]}
     assert sorted(got) == [0, 1, 2, 3, 4] and got[1].main_struc.strip() == "1abc" and got[1].member_struc.strip() == "2abc"
     assert got[4].member_struc is None and got[4].member_name == "m" and got[3].member_name is None
-    assert sorted(int(r.topdb_id) for r in q["xml_topology_all"]) == [1, 2, 3, 4, 6]
+    assert sorted(int(r.topdb_id) for r in q["xml_topology"]) == [1, 2, 3, 4, 6]
 
 
 def test_topology_files_at_any_depth(spark, tmp_path):
