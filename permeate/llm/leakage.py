@@ -41,9 +41,13 @@ def offsets(text: str) -> list[int]:
     """Place in the original of each character of the squeezed text."""
     out, at = [], 0
     marks = [(m.start(), m.end(), squeeze(m[0])) for m in _TAG.finditer(text)]
+    plain = len(text.lower()) == len(text)  # else a character has a longer lower case
     for a, b, inner in [*marks, (len(text), len(text), "")]:
-        for k in range(at, a):
-            out += [k] * len(_NOT_ALNUM.sub("", text[k].lower()))
+        if plain:
+            out += [k for k in range(at, a) if text[k].isalnum()]
+        else:
+            for k in range(at, a):
+                out += [k] * len(_NOT_ALNUM.sub("", text[k].lower()))
         out += [a] * len(inner)
         at = b
     return out
@@ -91,6 +95,7 @@ class PassageIndex:
             self.automaton.add_word(text, (len(text), tuple(places)))
         if seeds:
             self.automaton.make_automaton()
+        self.pairs = [[a + b for a, b in zip(words, words[1:])] for words in self.words]
         self.back = [[w[::-1] for w in words[::-1]] for words in self.words]
 
     def _extend(self, words: list[str], doc: str, j: int, pos: int, bounds: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
@@ -148,10 +153,10 @@ class PassageIndex:
         for end, (length, places) in self.automaton.iter(doc):
             for which, j in places:
                 seeds.setdefault(which, []).append((end + 1 - length, j))
-        # unchanged words stand in the document, wherever; a cheap look before the alignment
+        # a change breaks at most two pairs of neighbours, the others stand in the document: a cheap look before the alignment
         for which in [*seeds]:
-            need = self.least[which] - self.least[which] // self.every
-            if sum(w in doc for w in self.words[which]) < need:
+            need = self.least[which] - 1 - 2 * (self.least[which] // self.every)
+            if sum(pair in doc for pair in self.pairs[which]) < need:
                 del seeds[which]
         if not seeds:
             return []
@@ -167,6 +172,8 @@ class PassageIndex:
                 if (pos, j) in done:  # on an unchanged run that has been extended
                     continue
                 right = self._extend(words, doc, j, pos, forth)
+                if right[-1][0] + j < self.least[which]:  # too short, however much fits to the left
+                    continue
                 left = self._extend(self.back[which], rev, len(words) - j, len(doc) - pos, back_to)
                 at = pos
                 for k in range(j, j + right[0][0]):
