@@ -108,22 +108,25 @@ def straight(text: str) -> str:
     return unicodedata.normalize("NFKC", text).replace("’", "'").replace("‘", "'")
 
 
+@lru_cache(maxsize=200_000)
+def _speaks_for(word: str) -> tuple[tuple[str, float], ...]:
+    """Languages a word speaks for, by its being a function word and by its letters and ending, with their weights."""
+    signs = [weights for sign, weights in _SIGNS if sign.search(word)]
+    return tuple(x for weights in (_WEIGHT.get(word, {}), *signs) for x in weights.items())
+
+
 @lru_cache(maxsize=50_000)
 def language(text: str, least: float = 1.2) -> str | None:
     """Language of a text by its function words, or by a non-Latin script; None where too little speaks for one."""
-    letters = [c for c in text if c.isalpha()]
+    letters = [] if text.isascii() else [c for c in text if c.isalpha()]
     if len(letters) >= 4:
         other = [c for c in letters if ord(c) > 0x24F and not 0x1E00 <= ord(c) <= 0x1EFF and not 0x370 <= ord(c) <= 0x3FF]
         if len(other) > 0.5 * len(letters):
             return "script:" + unicodedata.name(other[0], "?").split()[0]
     score: dict[str, float] = {}
     for w in words(text):
-        for lang, weight in _WEIGHT.get(w, {}).items():
+        for lang, weight in _speaks_for(w):
             score[lang] = score.get(lang, 0.0) + weight
-        for sign, weights in _SIGNS:
-            if sign.search(w):
-                for lang, weight in weights.items():
-                    score[lang] = score.get(lang, 0.0) + weight
     if not score:
         return None
     ranked = sorted(score.items(), key=lambda x: (-x[1], x[0]))
