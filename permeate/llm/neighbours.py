@@ -273,7 +273,12 @@ def _candidates(routed: DataFrame, sizes: DataFrame, least: float, k: int, most_
             part = asking.take(np.arange(at, min(at + 1024, len(asking.ids))))
             near = part.vectors() @ x.T
             slack = part.scales[:, 1:] + (1 + part.scales[:, 1:]) * xe + 1e-5
-            i, j = np.nonzero(near + slack >= least)
+            may = near + slack >= least
+            if near.shape[1] > k and np.count_nonzero(may) > 8 * k * len(near):
+                # a low threshold: what cannot beat the k best of its row goes before it is listed
+                low = np.where(part.ids[:, None] == inside.ids[None], -np.inf, near - slack)
+                may &= near + slack >= np.partition(low, -k, axis=1)[:, -k][:, None]
+            i, j = np.nonzero(may)
             other = part.ids[i] != inside.ids[j]
             i, j = i[other], j[other]
             if not len(i):
@@ -460,9 +465,12 @@ def recall(vectors: DataFrame, neighbours: DataFrame, every: int = 20, least: fl
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 for a in range(0, len(q), 1024):
                     near = q[a : a + 1024] @ x.T
-                    i, j = np.nonzero(near >= least - 1e-9)
-                    out = pd.DataFrame({"vec_id": ids[a + i], "other_id": batch["vec_id"].to_numpy()[j], "similarity": near[i, j]})
-                    yield out[out["vec_id"] != out["other_id"]]
+                    there = batch["vec_id"].to_numpy()
+                    near[ids[a : a + 1024, None] == there[None]] = -np.inf
+                    # what is not among the k best of a batch (with ties) is not among the k best of all
+                    bar = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
+                    i, j = np.nonzero((near >= least - 1e-9) & (near >= bar[:, None]))
+                    yield pd.DataFrame({"vec_id": ids[a + i], "other_id": there[j], "similarity": near[i, j]})
 
         part = units.mapInPandas(scan, "vec_id long, other_id long, similarity double")
         found = part if found is None else found.unionByName(part)
