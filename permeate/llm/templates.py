@@ -139,6 +139,8 @@ _SLOTS = re.compile(
     \{{\{{\s*{_NAME}\s*\}}\}} | \{{%-?\s*{_NAME}\s*-?%\}} | <%=?\s*{_NAME}\s*%> | \$\{{\s*{_NAME}\s*\}} | \#\{{\s*{_NAME}\s*\}}
   | @@\s*{_NAME}\s*@@ | %%\s*{_NAME}\s*%% | <<\s*{_NAME}\s*>> | \(\(\s*{_NAME}\s*\)\) | \[\[\s*{_NAME}\s*\]\]
   | (?<![A-Za-z0-9_])__\s?{_NAME}\s?__(?![A-Za-z0-9_]) | (?<![A-Za-z0-9_])_{{4,}}(?![A-Za-z0-9_])
+  | %\([A-Za-z_]\w*\)[sdf] | \{{\$[A-Za-z_]\w*\}} | \[%\s*{_NAME}\s*%\] | (?<![\w$])\$(?-i:[A-Z][A-Z_]{{2,}})\b(?!\$) | (?-i:\b[A-Z][A-Z_]{{2,}}_HERE\b) | &lt;\s*(?-i:[A-Z][A-Z_]{{2,}})\s*&gt;
+  | (?<![\w\#])([\#^!=:+&~|])\1(?-i:[A-Z][A-Z_]{{2,40}})\1\1(?!\w) | (?<![\w^])\^\^[a-z_]{{3,40}}\^\^(?!\w) | (?<![\w:])::[a-z_]{{3,40}}::(?!\w)
   | \[\s*(?:insert|your|enter|add|todo|tbd|placeholder|fill\ in|name\ of|type)\b[^\[\]\n]{{0,60}}\]
   | <\s*(?:insert|your|enter|add|todo|placeholder|fill\ in)\b[^<>\n]{{0,60}}>
     """,
@@ -146,7 +148,8 @@ _SLOTS = re.compile(
 )
 # Words behind a slot that show that the text speaks about it.
 _ABOUT = re.compile(r"^[\"'”’`]?\s*(?:field|fields|slot|slots|tag|tags|variable|variables|placeholder|syntax|marker|markers|notation|column|key|token|lane|parameter)\b", re.I)
-_OPENERS = ("{{", "{%", "<%", "${", "#{", "@@", "%%", "<<", "((", "[[", "__")
+_OPENERS = ("{{", "{%", "<%", "${", "#{", "@@", "%%", "<<", "((", "[[", "__", "%(", "{$", "[%", "_HERE", "&lt;", "##", "^^", "!!", "==", "::", "++", "&&", "~~", "||")
+_DOLLAR = re.compile(r"\$[A-Z]{3}")
 _BRACKET = re.compile(r"[\[<]\s*(?:insert|your|enter|add|todo|tbd|placeholder|fill in|name of|type)\b", re.I)
 # A name between single marks. Such marks have other uses too, so it must look like a variable (`plain_slots`).
 _PLAIN = re.compile(r"(?<!\w)([<\[{#$%@|~«‹])([A-Za-z][A-Za-z_]{2,40})([>\]}#$%@|~»›])(?!\w)")
@@ -181,7 +184,7 @@ def plain_slots(text: str) -> int:
 def open_slots(text: str) -> int:
     """Unfilled slots; one that the text speaks about (``the {{title}} field``, in quotes) is none."""
     n = 0
-    if any(x in text for x in _OPENERS) or (("[" in text or "<" in text) and _BRACKET.search(text)):
+    if any(x in text for x in _OPENERS) or ("$" in text and _DOLLAR.search(text)) or (("[" in text or "<" in text) and _BRACKET.search(text)):
         for m in _SLOTS.finditer(text):
             if _ABOUT.match(text[m.end() : m.end() + 30]):
                 continue
@@ -198,24 +201,24 @@ _CUES = {
     "script_notice": {
         2: "javascript ecmascript js noscript script scripts scripting skript skripte skripten",
         1: "browser navigateur navegador cookies enable enabled disable disabled allow allowed activate activated active activer activez activar aktivieren aktiviert habilite habilitar erlauben turn turned switch switched off blocked block "
-        "blocker unblock require requires required need needs must support supported reload loading drawn displayed view show run permit permitted accept checking without please bitte veuillez autoriser",
+        "blocker unblock require requires required need needs must support supported reload loading drawn displayed view show run permit permitted accept checking without please bitte veuillez autoriser benötigt erforderlich einschalten eingeschaltet deaktiviert nécessite désactivé desactivado habilitado unterstützt",
     },
     "error_page": {
         2: "error errors erreur fehler http gateway nginx apache traceback exception unavailable forbidden unauthorized unauthorised timeout introuvable indisponible wartung wartungsarbeiten serverfehler oops whoops sorry maintenance offline "
-        "notfound expired denied refused crashed inaccessible mantenimiento désolé caducado denegado",
+        "notfound wentwrong unexpected uncaught undefined unreachable retry exceeded sentimos fehlgeschlagen aufgetreten expired denied refused crashed inaccessible mantenimiento désolé caducado denegado",
         1: "page server request requested session connection reset moved removed deleted exist exists loaded displayed try again later login log sign permission administrator webmaster contact desk help back end database site website "
-        "service access internal wrong record entry article address url link report problem id failed time timed out down lost unable cannot could status code bad many "
-        "código codigo seite eintrag datei nicht gefunden geladen erreichbar verfügbar datenbank dienst server bitte versuchen später zugriff verweigert anmelden notice serveur veuillez réessayer accès refusé demandée "
+        "service access internal wrong record entry article address url link report problem id failed time timed out down lost unable cannot could status code bad many problem occurred working find load connect connections reach reached authorized authorised limit rate blocked broken went wrong something "
+        "existe existiert angeforderte solicitada verbindung código codigo seite eintrag datei nicht gefunden geladen erreichbar verfügbar datenbank dienst server bitte versuchen später zugriff verweigert anmelden notice serveur veuillez réessayer accès refusé demandée "
         "página registro servidor servicio encontrado encuentra encontró disponible inténtelo acceso sesión cargar",
     },
     "filler": {
         3: "beispieltext blindtext platzhaltertext mustertext fülltext lipsum",
-        2: "placeholder dummy lorem ipsum filler blah tbd todo platzhalter relleno bla",
-        1: "sample text abstract summary content title description paragraph goes here coming soon replace later insert something enter write your test example blind copy added appear exemple ejemplo texte texto entry record",
+        2: "placeholder dummy lorem ipsum filler blah tbd todo platzhalter relleno bla foo",
+        1: "sample text abstract summary content title description paragraph goes here coming soon replace later insert something enter write your test example blind copy added appear exemple ejemplo texte texto entry record yet announced follows folgt bar baz",
     },
 }
 _WEIGHT = {kind: {w: n for n, words in by.items() for w in words.split()} for kind, by in _CUES.items()}
-#: A line needs different words of this weight for a kind, or of weight 2 if they are half of its words.
+#: A line needs different words of this weight for a kind (and of a sixth of its words of three letters and more), or of weight 2 if they are half of its words of three letters and more.
 _ENOUGH = 3
 _STRONG = frozenset(w for by in _CUES.values() for n, words in by.items() if n > 1 for w in words.split()) | {"browser"}
 
@@ -262,8 +265,8 @@ _FORMS = re.compile(r'rror|xception|^\W*(?:<h\d>)?\W*[1-5]\d\d\b|^\s*at |^\W*[Ff
 
 
 def cue_words(text: str) -> list[str]:
-    """Words in lower case; ``not found`` counts as one, for alone neither word is a cue."""
-    return _WORD.findall(text.lower().replace("not found", "notfound"))
+    """Words in lower case; ``not found`` and ``went wrong`` count as one, for alone their words say little."""
+    return _WORD.findall(text.lower().replace("not found", "notfound").replace("went wrong", "wentwrong"))
 
 
 def cue_scores(words: list[str]) -> dict[str, int]:
@@ -272,9 +275,10 @@ def cue_scores(words: list[str]) -> dict[str, int]:
     out = {}
     if len(_ANY & own) == 0:
         return out
+    long = sum(len(w) > 2 for w in own)
     for kind, weight in _WEIGHT.items():
         n = sum(weight[w] for w in weight.keys() & own)
-        if n >= _ENOUGH or (n > 1 and 2 * n >= len(own)):
+        if (n >= _ENOUGH and 6 * n >= long) or (n > 1 and 2 * n >= long):
             out[kind] = n
     return out
 
@@ -292,6 +296,9 @@ def meaningless(segment: str) -> str | None:
     """``latin``, ``letters`` or ``one word`` for text without sense, else None."""
     raw = _WORD.findall(segment)
     words = [w.lower() for w in raw]
+    parts = segment.split()
+    if len(parts) > 2 and len(set(parts)) == 1 and words:
+        return "one word"
     if len(words) < 3:
         return None
     if sum(w in _LATIN for w in words) >= 0.7 * len(words) and sum(w in _LATIN and w not in _WEAK_LATIN for w in words) >= 3:

@@ -42,7 +42,15 @@ CASES = [
     ("Traceback (most recent call last): particles", "error_page"),
     ("Ordinary line\nat org.app.View(View.java:88)", "error_page"),
 ]
+# wordings of other sites, in four languages
+CASES += [(t, "error_page") for t in ("This page isn’t working", "Something went wrong.", "Die angeforderte Seite existiert nicht", "La página solicitada no existe", "Uncaught TypeError: x is undefined", "Verbindung fehlgeschlagen")]
+CASES += [(t, "script_notice") for t in ("JavaScript is disabled in your browser.", "Für diese Seite wird JavaScript benötigt.", "Ce site nécessite JavaScript.", "Necesita habilitar JavaScript.")]
+CASES += [(t, "filler") for t in ("n/a n/a n/a", "foo bar baz", "Text folgt.", "Ceci est un texte d’exemple.", "No content yet.")]
+CASES += [(t, "placeholder") for t in ("%(title)s binds %(ligand)s", "$TITLE binds $LIGAND", "TITLE_HERE: helix of RESIDUE_HERE", "{$title} binds {$ligand}", "[% title %] binds", "==TITLE== binds ==X_Y==", "::title:: binds", "^^title^^ binds")]
 ALONE = [
+    "In C++ the std::vector of US$ prices was sorted; see go_here and == equal == signs.",
+    "== Methods ==\nThe grid was blotted for 3 seconds.",
+    "The rate of the exporter fell per second with a mean error of 3 angstrom when the volume of the third helix of the protein in the membrane of the cell was changed by loss of the residue near the pore.",
     REAL,
     "The web viewer is written in JavaScript and draws 80 atoms per second.",
     "The form has a {{title}} field, which the curators filled for all 9 maps.",
