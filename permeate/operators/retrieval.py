@@ -36,8 +36,8 @@ def budget_concat(chunks: DataFrame, group: str, rank: list, text: str, max_char
     budget, not by the group.
     """
     n = F.char_length(text)
-    # a hot group is dealt into salts first: a row that is over the budget within its salt is over it in the group
-    salted = chunks.where(F.col(text).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(salts)))
+    # a hot group is dealt into salts by its whole rows first, so a repeated text does not stay together: a row that is over the budget within its salt is over it in the group
+    salted = chunks.where(F.col(text).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in chunks.columns]), F.lit(salts)))
     part = Window.partitionBy(group, "_salt").orderBy(*rank).rowsBetween(Window.unboundedPreceding, -1)
     few = salted.withColumn("_sum", F.coalesce(F.sum(n + 2).over(part), F.lit(0))).where(F.col("_sum") <= max_chars).drop("_sum", "_salt")
     w = Window.partitionBy(group).orderBy(*rank)
