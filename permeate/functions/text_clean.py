@@ -97,6 +97,7 @@ def first_values(maps: Column) -> Column:
     return F.transform(maps, lambda m: F.get(F.map_values(m), F.lit(0)))
 
 
+# Paths of the two services below their roots.
 def simulation_url(root: str, code: Column, suffix: str = "_default_dppc") -> Column:
     """Address of the residue contacts of a structure's simulation below ``root``; null for a null code."""
     return F.concat(F.lit(root + "data/memprotmd/simulations/"), F.lower(code), F.lit(suffix + "/files/contacts/by_resid_postprocess.csv"))
