@@ -65,6 +65,18 @@ _LEAD = r"^(?:(?:approx(?:imately)?|ca|circa|about|around|roughly|final(?: conce
 _NUMBER = r"[-+]?(?:\d++(?:[.,]\d++)?+|[.,]\d++)(?:\s*+[x×*·]\s*+10\s*+\^?\s*+[-+−]?\d++|e[-+−]?\d++)?+"
 _TO = r"(?:-|–|—|−|to(?![a-z])|\.\.+)"
 _RANGE = rf"^{_NUMBER}(?:\s*|\s*[a-zµμ%][a-zµμ%/ ]*\s){_TO}\s*{_NUMBER}(?![a-z0-9])"
+# A unit beside the first of two numbers.
+_UNIT_WORD = (
+    r"(?:(?:milli|micro|nano|pico|kilo|[munpkµμ])?(?:molar|moles?|mols?|grams?|lit(?:re|er)s?|[mgl])"
+    r"(?:\s*(?:/|per)\s*(?:100\s*)?(?:milli|micro|deci|[munpdcµμ])?(?:lit(?:re|er)s?|l|m\^?3)|\s*[mudµμ]?l\s*-1)?"
+    r"|(?:%|per\s?cent|pct)(?:\s*\(?\s*(?:w|v|m|wt|vol|weight|mass)\s*/\s*v(?:ol(?:ume)?)?\s*\)?)?)"
+)
+_TOLERANCE = r"(?:\+\s*/\s*[-−–]|±|\+[-−])"
+_TEMPERATURE = r"(?:-?\d+(?:[.,]\d+)?\s*(?:°|º|deg(?:rees)?\.?)?\s*(?:c|k|celsius|kelvin)|rt|room temperature)"
+# A percentage is a tolerance of its own only before a unit that it does not belong to.
+_TOLERANCE_FIRST = rf"^\(?{_TOLERANCE}\s*{_NUMBER}\)?(?:\s*%(?=\s*[a-zµμ])(?!\s*(?:w|v|m|wt|vol(?:ume)?|weight|mass)\s*/|\s*(?:vol|by)\b))?\s*"
+_TOLERANCE_LAST = rf"\s*\(?\s*{_TOLERANCE}\s*{_NUMBER}\s*{_UNIT_WORD}?\s*\)?$"
+_TEMPERATURE_LAST = rf"(?:^|\s+|\s*[(@,]\s*)(?:(?:at|@)\s*)?{_TEMPERATURE}\s*\)?[.;]?$"
 
 
 def plain(text: Column) -> Column:
@@ -90,6 +102,12 @@ def after_number(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, rf"^{_NUMBER}", ""))
 
 
+def without_additions(rest: Column) -> Column:
+    """What follows the leading number, without an added tolerance or temperature; most texts hold neither and are passed by."""
+    out = F.regexp_replace(F.regexp_replace(rest, rf"(?i){_TEMPERATURE_LAST}", ""), rf"(?i){_TOLERANCE_FIRST}", "")
+    return F.when(rest.rlike(r"(?i)\d|\brt\b|temperature"), F.trim(F.regexp_replace(out, rf"(?i){_TOLERANCE_LAST}", ""))).otherwise(rest)
+
+
 def unit(text: Column) -> Column:
     """Normalised spelling of a unit text, to be looked up in ``unit_table``."""
     out = F.lower(F.coalesce(text, F.lit("")))
@@ -129,8 +147,9 @@ def read_amounts(df: DataFrame, value: str, units: str) -> DataFrame:
     """Adds the reading of a stated amount: ``number``, ``unit`` (normalised), ``kind``, ``value``, ``status``.
 
     The unit may stand behind the number, in the units field, or in both; the text behind the number wins where
-    it names a known unit by itself, else both together are read (``0.2 w/v`` with ``%``). Status is ``stated``,
-    ``unitless`` (a number, no unit at all), ``foreign`` (a unit of another kind) or ``none`` (no single number).
+    it names a known unit by itself, else both together are read (``0.2 w/v`` with ``%``). An added tolerance or
+    temperature is ignored. Status is ``stated``, ``unitless`` (a number, no unit at all), ``foreign`` (a unit of
+    another kind) or ``none`` (no single number).
     Each step is a projection of its own, so that no step is compiled twice.
     """
     text, field = F.col("_text"), F.trim(F.coalesce(F.col(units), F.lit("")))
@@ -139,6 +158,7 @@ def read_amounts(df: DataFrame, value: str, units: str) -> DataFrame:
     return (
         df.withColumn("_text", plain(F.col(value)))
         .withColumns({"number": number(text), "_rest": after_number(text), "_field": field})
+        .withColumns({"_rest": without_additions(F.col("_rest")), "_field": without_additions(F.col("_field"))})
         .withColumns({"_own": unit(F.when(bare, F.col("_field")).otherwise(F.col("_rest"))), "_both": unit(F.concat_ws(" ", "_rest", "_field"))})
         .withColumn("_code", F.coalesce(unit_code(F.col("_own")), F.when(~bare, unit_code(F.col("_both")))))
         .withColumns({"unit": F.col("_own"), "kind": code_kind(F.col("_code")), "value": scaled(F.col("number"), F.col("_code"))})
@@ -156,17 +176,28 @@ def read_amounts(df: DataFrame, value: str, units: str) -> DataFrame:
 
 _HEDGE = r"(?:(?:approx\.?|ca\.?|about|~|≈)\s*)?"
 _UNIT_TEXT = r"[a-zµμ%][a-zµμ%/ ().]*(?:100\s*ml|l\s*-1|m\s*\^?3)?[a-zµμ%/ ().]*"
+_WITH_TOLERANCE = rf"{_HEDGE}(?:{_NUMBER}\s*(?:{_UNIT_WORD}\s*)?{_TOLERANCE}\s*)?{_NUMBER}\s*{_UNIT_TEXT}(?:{_TOLERANCE}\s*{_NUMBER})?"
 #: An amount at the end of a name: ``NaCl, 5 mM``, ``NaCl - 5 mM`` or ``NaCl 5 mM``.
-NAME_AMOUNT = rf"(?i)[\s,–-]({_HEDGE}{_NUMBER}\s*{_UNIT_TEXT})$"
+NAME_AMOUNT = rf"(?i)[\s,–-]({_WITH_TOLERANCE})$"
 #: ``NaCl (5 mM)``
-NAME_BRACKET = rf"(?i)\(({_HEDGE}{_NUMBER}\s*{_UNIT_TEXT})\)$"
+NAME_BRACKET = rf"(?i)\(({_WITH_TOLERANCE})\)$"
+# Names that end in a number, which is then no end of a range.
+_NUMBERED = r"(?<!\b(?:peg|peo|tween|span|brij|polysorbate|pluronic|poloxamer|ficoll|dextran)\s)"
+_DASH = r"[-–—−]"
+_LOWER = rf"(?i)(?:^|[\s,(~≈=:]){_NUMBERED}"
+#: ``NaCl 5-10 mM``, ``NaCl (5 to 10 mM)``, ``NaCl 5 mM - 10 mM``: a range that ends a name.
+NAME_RANGE = rf"{_LOWER}{_NUMBER}(?:{_DASH}\s*|\s+{_DASH}(?!\s)|\s*to\s*|\s*\.\.+\s*|\s*{_UNIT_WORD}\s*{_TO}\s*){_NUMBER}\s*{_UNIT_TEXT}$"
+#: ``NaCl 5 - 10 mM``; a higher number before the dash, as in ``C12E 8 - 0.1 %``, belongs to the name.
+NAME_RANGE_SPACED = rf"{_LOWER}(\d++(?:[.,]\d++)?+)\s+{_DASH}\s+(\d++(?:[.,]\d++)?+)\s*{_UNIT_TEXT}$"
 
 
 def amount_in_name(name: Column) -> Column:
-    """The amount that ends a name, or '' where it ends with none."""
-    flat = F.trim(F.regexp_replace(name, r"(?U)\s+", " "))
+    """The amount that ends a name, with its tolerance, or '' where it ends with none or with a range."""
+    flat = F.trim(F.regexp_replace(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")), rf"(?i)(?<=[^\d\s,(@])(?:{_TEMPERATURE_LAST})", ""))
     inner = F.regexp_extract(flat, NAME_BRACKET, 1)
-    return F.when(inner != "", inner).otherwise(F.regexp_extract(flat, NAME_AMOUNT, 1))
+    low, high = (F.replace(F.regexp_extract(flat, NAME_RANGE_SPACED, i), F.lit(","), F.lit(".")).try_cast("double") for i in (1, 2))
+    span = flat.rlike(NAME_RANGE) | F.coalesce(low < high, F.lit(False))
+    return F.when(flat.rlike(r"\d\D.*\d") & span, "").when(inner != "", inner).otherwise(F.regexp_extract(flat, NAME_AMOUNT, 1))
 
 
 _H_ION = r"\[\s*h\s*\+\s*\]|\bh\s*\+|\bh3o\s*\+"

@@ -139,3 +139,47 @@ def test_features_look_at_others_only(spark):
         assert (a.n_near, a.near_kind, a.near_bare) == (1, 2.0, 1) and (b.near_kind, x.n_near) == (1.0, 2)
         assert b.category_known == 0 and b.category_kind == -1 and a.category_kind == 1.0 and x.category_known == 0
         assert got[2, "0.0.0", 9.0].n_near == 0  # rows of one id stay apart
+
+
+ADDED = [
+    ("5 +/- 1 mM", None, "molar", 5_000_000),
+    ("5 ± 0.5", "mM", "molar", 5_000_000),
+    ("5 mM ± 1 mM", None, "molar", 5_000_000),
+    ("2 ± 10 % mg/mL", None, "mass", 2_000),
+    ("2 mg/mL ± 10 %", None, "mass", 2_000),
+    ("1 ± 0.1 % w/v", None, "mass", 10_000),
+    ("1 +/- 0.1", "% (v/v)", "volume", 10_000),
+    ("5", "mM (25 °C)", "molar", 5_000_000),
+    ("5 mM at 4 C", None, "molar", 5_000_000),
+    ("5 mM @ RT", "", "molar", 5_000_000),
+]
+
+
+def test_tolerance_and_temperature_of_amounts(spark):
+    rows = [(i, v, u) for i, (v, u, *_) in enumerate(ADDED)] + [(len(ADDED), "5 ± 1", None)]
+    out = {r.i: (r.kind, r.value, r.status) for r in q.read_amounts(spark.createDataFrame(rows, "i int, v string, u string"), "v", "u").collect()}
+    for i, (_, _, kind, value) in enumerate(ADDED):
+        assert out[i] == (kind, value, "stated"), ADDED[i]
+    assert out[len(ADDED)][2] == "unitless"
+
+
+RANGES = ["NaCl 5-10 mM", "NaCl (5-10 mM)", "NaCl, 5 to 10 mM", "NaCl 5 – 10 mM", "NaCl (5–10 mM)", "NaCl 5 mM to 10 mM", "NaCl, 5 mM - 10 mM", "NaCl ~5 -10 mM", "NaCl - 1,5 - 2 g/L", "NaCl (0.5 % (w/v) - 1 % (w/v))"]
+IN_NAMES = [
+    ("NaCl 5 +/- 1 mM", 5_000_000),
+    ("NaCl (5 mM ± 1 mM)", 5_000_000),
+    ("NaCl, 5 mM ± 1", 5_000_000),
+    ("NaCl 5 mM at 4 °C", 5_000_000),
+    ("NaCl - 5 mM (RT)", 5_000_000),
+    ("velnira-117 - 200 mM", 200_000_000),
+    ("PEG 400 - 500 mM", 500_000_000),
+    ("lipid mix 7 - 5 mM", 5_000_000),
+    ("lipid mix 7, 9 mM", 9_000_000),
+    ("2-(4-hydroxyethylpiperazin-1-yl)ethanesulfonic acid - 1 mM", 1_000_000),
+]
+
+
+def test_p3_found_reads_names_without_ranges_and_with_tolerances(spark):
+    rows = [entry(1, None, [(n, None, None) for n in RANGES]), entry(2, None, [(n, None, None) for n, _ in IN_NAMES])]
+    got = {(r.row_id, r.path): (r.kind, r.value) for r in op.quantities(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [RANGES[i] for i in range(len(RANGES)) if (1, f"0.0.{i}") in got] == []
+    assert [(n, got.get((2, f"0.0.{i}"))) for i, (n, _) in enumerate(IN_NAMES)] == [(n, ("molar", v)) for n, v in IN_NAMES]
